@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pressmill.llm import simhash
+from pressmill.llm import decontaminate, sharding, simhash, tokens, wavelet
 
 QUERIES = {
+    "op1_token_counts": tokens.op1_token_counts,
     "op2_simhash": simhash.op2_simhash,
+    "op3_sharding": sharding.op3_sharding,
+    "op6_wavelet": wavelet.op6_wavelet,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
