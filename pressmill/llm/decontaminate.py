@@ -40,7 +40,8 @@ _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) +
 
 def template_words(text: Column) -> Column:
     """The words of a text; those that fill a slot carry the mark of its type in front."""
-    clean = F.translate(text, NUMBER + UNIT + NAME, "   ")
+    marks = NUMBER + UNIT + NAME
+    clean = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
     unit = "|".join(sorted(UNITS, key=len, reverse=True))
     with_units = F.regexp_replace(clean, rf"\b(\d+(?:[.,]\d+)*)\s?((?i:{unit})\b|[%€$£°])", f"{NUMBER}$1 {UNIT}$2")
     numbers = F.regexp_replace(with_units, rf"(?<![{NUMBER}\d.,])\b(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
@@ -71,7 +72,8 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     words = benchmark.select(
         F.col(id_col).cast("long").alias("item"), template_words(text_or_empty(F.col(text_col))).alias("words")
     )
-    at = _with_windows(words).select("item", "words", F.posexplode("hashes").alias("at", "hash"))
+    # outer: else the optimizer adds a filter that computes all windows a second time
+    at = _with_windows(words).select("item", "words", F.posexplode_outer("hashes").alias("at", "hash")).where("at >= 0")
     at = at.withColumn("slots", F.slice("words", F.col("at") + 1, WINDOW)).drop("words")
     at = at.where(F.size(F.filter("slots", lambda w: w >= "\u0004")) >= MIN_LITERALS).distinct()
     need = at.groupBy("item").agg(F.least(F.count("*"), F.lit(MIN_WINDOWS)).alias("need"))
@@ -95,7 +97,7 @@ def contaminated(
     words = docs.select(
         F.col(id_col).cast("long").alias("id"), template_words(text_or_empty(F.col(text_col))).alias("words")
     )
-    rows = _with_windows(words).select("id", "words", F.posexplode("hashes").alias("pos", "hash"))
+    rows = _with_windows(words).select("id", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
     hits = rows.join(items, "hash").select(
         "id", "item", "at", "need", (F.col("pos") - F.col("at")).alias("diagonal"),
         F.filter(
