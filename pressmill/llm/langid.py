@@ -34,8 +34,11 @@ SMOOTHING = 8.0
 #: Share that smoothing leaves to every language alike.
 LEAST = 0.001
 MIN_CONFIDENCE = 0.6
-#: Nats a byte by which text must be likelier than noise, from this many bytes on.
-MIN_GAIN = 0.5
+#: Share of noise, bytes without order, that every language's text may hold.
+NOISE = 0.1
+#: Nats a byte by which text is likelier than noise; below this, from so many bytes on, it is
+#: no text of any language. Noise alone reaches log(NOISE), -2.3.
+MIN_GAIN = -1.0
 MIN_GAIN_BYTES = 20
 
 
@@ -91,8 +94,8 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     total = np.zeros((len(langs), 1 << GRAM_BITS))
     for r in found.groupBy("lang", "code").agg(F.sum("n").alias("n")).toLocalIterator():
         total[r["lang"], r["code"]] = r["n"]
-    total += 0.05
-    return langs, np.log(total / total.sum(axis=1, keepdims=True)).astype(np.float32)
+    seen = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
+    return langs, np.log((1 - NOISE) * seen + NOISE / (1 << GRAM_BITS)).astype(np.float32)
 
 
 def text_likelihoods(rows: DataFrame, models: np.ndarray) -> DataFrame:

@@ -15,7 +15,7 @@ ranked; documents find their bins by their piece's length and rank.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,8 +28,9 @@ from pressmill.llm.common import materialize, offsets, table
 from pressmill.llm.tokens import token_lengths
 
 CAPACITIES = (1024, 2048, 4096, 8192)
-#: A bin costs its capacity, and this many tokens more for the sequence itself.
+#: A sequence of c tokens costs c, c * c / ATTENTION for attention, and BIN_COST for itself.
 BIN_COST = 64
+ATTENTION = 65536
 #: Pieces numbered in one window partition, on average.
 CELL_ROWS = 100_000
 
@@ -38,18 +39,24 @@ CELL_ROWS = 100_000
 class Plan:
     """Spans: pieces of a length from rank ``lo`` on go to bins from ``bin`` on, ``each`` to a bin."""
 
-    cost: int = 0
+    cost: float = 0
     bins: int = 0
     spans: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)  # length, lo, n, bin, each, offset
     runs: list[tuple[int, int, int]] = field(default_factory=list)  # first bin, bins, capacity after shrinking
 
 
-def least_cost(capacities: tuple[int, ...], used: int, bin_cost: int = BIN_COST) -> int:
+def sequence_cost(capacity: int) -> float:
+    return capacity + capacity * capacity / ATTENTION + BIN_COST
+
+
+def least_cost(capacities: tuple[int, ...], used: int, cost: Callable[[int], float] = sequence_cost) -> int:
     """The cheapest permitted capacity that holds ``used`` tokens."""
-    return min((c for c in capacities if c >= used), key=lambda c: (c + bin_cost, c))
+    return min((c for c in capacities if c >= used), key=lambda c: (cost(c), c))
 
 
-def best_fit(histogram: dict[int, int], capacities: tuple[int, ...], floor: int, bin_cost: int = BIN_COST) -> Plan:
+def best_fit(
+    histogram: dict[int, int], capacities: tuple[int, ...], floor: int, cost: Callable[[int], float] = sequence_cost
+) -> Plan:
     """Best-fit decreasing over counts of lengths, bins opened at ``floor`` or above."""
     plan = Plan()
     free: dict[int, list[tuple[int, int, int]]] = {}  # free space -> runs of (first bin, bins, capacity)
@@ -89,7 +96,7 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...], floor: int,
                     del free[space]
                     spaces.pop(at)
             else:
-                space = least_cost(tuple(c for c in capacities if c >= floor), max(length, floor), bin_cost)
+                space = least_cost(tuple(c for c in capacities if c >= floor), max(length, floor), cost)
                 bins = -(-n // (space // length))
                 run = (plan.bins, bins, space)
                 plan.bins += bins
@@ -97,21 +104,24 @@ def best_fit(histogram: dict[int, int], capacities: tuple[int, ...], floor: int,
             lo, n = lo + done, n - done
     for space, runs in free.items():
         for first, bins, capacity in runs:
-            shrunk = least_cost(capacities, capacity - space, bin_cost)
+            shrunk = least_cost(capacities, capacity - space, cost)
             plan.runs.append((first, bins, shrunk))
-            plan.cost += bins * (shrunk + bin_cost)
+            plan.cost += bins * cost(shrunk)
     plan.runs.sort()
     return plan
 
 
-def joint_plan(histogram: dict[int, int], capacities: tuple[int, ...], bin_cost: int = BIN_COST) -> Plan:
+def joint_plan(
+    histogram: dict[int, int], capacities: tuple[int, ...], cost: Callable[[int], float] = sequence_cost
+) -> Plan:
     """The cheapest of the best fits that open bins at each permitted capacity or above."""
-    return min((best_fit(histogram, capacities, c, bin_cost) for c in sorted(capacities)), key=lambda p: p.cost)
+    return min((best_fit(histogram, capacities, c, cost) for c in sorted(capacities)), key=lambda p: p.cost)
 
 
 def pack(
-    lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "id", n_col: str = "n", bin_cost: int = BIN_COST
-) -> DataFrame:
+    lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "id", n_col: str = "n",
+    cost: Callable[[int], float] = sequence_cost,
+) -> DataFrame:
     """``(id, piece, tokens, bin, offset, capacity)``: where every piece of every document goes.
 
     A document longer than the largest capacity is cut into full pieces and a rest; nothing is
@@ -129,7 +139,7 @@ def pack(
     rows = materialize(rows, "pieces")
 
     counts = {r["len"]: r["n"] for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `largest`
-    plan = joint_plan(counts, capacities, bin_cost)
+    plan = joint_plan(counts, capacities, cost)
 
     # ranks of the pieces of a length, in cells dealt by id so that a hot length is shared out
     cells = max(1, -(-max(counts.values(), default=0) // CELL_ROWS))

@@ -46,7 +46,9 @@ _MARK[33:127] = True
 _MARK &= ~np.array([chr(i).isalnum() if i < 128 else False for i in range(256)])
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[ord(c) for c in ".,;:'\"-?!()"]] = True
-TEXT_WIDTH = (1 << GRAM_BITS) + 2
+#: Concentration of ordinary long text; what is above it and above a short text's own is repetition.
+USUAL = 0.006
+TEXT_WIDTH = (1 << GRAM_BITS) + 3
 META_WIDTH = 2 * KEY_BUCKETS + 10
 
 
@@ -65,7 +67,8 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     size = np.maximum(shape[:, 0], 1)
     share = grams / size[:, None].astype(np.float32)
     alike = (share**2).sum(axis=1)
-    text = np.concatenate((np.sqrt(share), np.log(alike + 1e-4)[:, None], (share > 0).mean(axis=1)[:, None]), axis=1)
+    excess = np.log((alike + 1e-6) / (1 / size + USUAL))
+    text = np.concatenate((np.sqrt(share), np.stack((np.log(alike + 1e-4), excess, (share > 0).mean(axis=1)), axis=1)), axis=1)
     meta = np.zeros((n, META_WIDTH), np.float32)
     for block, name in enumerate(("lang", "source")):
         for i, v in enumerate(batch.column(name).to_pylist()):
@@ -109,14 +112,27 @@ class Linear:
 
 
 def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (never negative) and offset that turn a score into log-odds, by Platt's method."""
+    """Slope (never negative) and offset that turn a score into log-odds, by Platt's method.
+
+    Newton steps on the smoothed targets with a small pull to slope 1, halved until they help.
+    """
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (bad + 2))
-    x, w = np.stack((z, np.ones(len(z))), axis=1), np.array([1.0, 0.0])
-    for _ in range(30):
+    x, w, rest = np.stack((z, np.ones(len(z))), axis=1), np.array([1.0, 0.0]), np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float((np.logaddexp(0, t) - target * t).sum() + 0.5 * ((w - rest) ** 2).sum())
+
+    for _ in range(50):
         p = _sigmoid(x @ w)
-        hess = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w + np.linalg.solve(hess, x.T @ (target - p) - 1e-3 * (w - np.array([1.0, 0.0])))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
+        step, now = np.linalg.solve(hess, x.T @ (target - p) - (w - rest)), loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-7:
+            break
     return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
 
 
