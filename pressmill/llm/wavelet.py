@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ WORD_BPE = "word_bpe_49k.json"
 END_ID = 2
 #: Tokens of a shard; the document that reaches it is the shard's last.
 SHARD_TOKENS = 2_000_000
+#: Files that one task reads, about.
+FILES_A_TASK = 4
 #: Text that is encoded at once, and words a worker remembers.
 PIECE_BYTES = 8_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
 MAGIC = b"WVMX1\n"
 
 
@@ -61,32 +64,46 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = pa.array([], pa.large_string())
         self.ids, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        n = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((x for e in ids for x in e), np.uint32, int(n.sum()))
-        starts = np.cumsum(n, dtype=np.int64) - n + len(self.ids)
-        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
-        self.ids = np.concatenate((self.ids, flat))
-        self.starts, self.lengths = np.concatenate((self.starts, starts)), np.concatenate((self.lengths, n))
+    def _learn(self, words: pa.Array) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int32, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        self.words = pa.concat_arrays([self.words, words])
+        self.starts = np.concatenate((self.starts, np.cumsum(n, dtype=np.int64) - n + len(self.ids)))
+        self.ids, self.lengths = np.concatenate((self.ids, flat)), np.concatenate((self.lengths, n))
+
+    @staticmethod
+    def _simpler(texts: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer distinct parts: lower case, and marks that end a word apart.
+
+        The tokenizer folds case itself and parts letters from marks. Texts that may hold special
+        tokens, which it finds as they are written, stay as they are.
+        """
+        lower = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([,.])( |$)", r"\1 \2\3")
+        return pc.if_else(pc.match_substring(texts, "<|"), texts, lower)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the number of each text; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # first a step that copies: lower-casing a slice of an array in place is not sound
+        texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " ")
+        parts = pc.split_pattern(self._simpler(texts), " ")
         words = parts.flatten().dictionary_encode()
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.cast(pa.large_string())
         if len(self.words) > CACHED_WORDS:
             self._clear()
-        new = [w for w in distinct if w not in self.words]
-        if new:
-            self._learn(new)
-        known = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
-        codes = words.indices.to_numpy(zero_copy_only=False)
+        known = pc.index_in(distinct, value_set=self.words)
+        if known.null_count:
+            before = len(self.words)
+            self._learn(distinct.filter(known.is_null()))
+            known = known.to_numpy(zero_copy_only=False)
+            new = np.isnan(known)
+            known[new] = np.arange(before, len(self.words))
+        else:
+            known = known.to_numpy(zero_copy_only=False)
+        known, codes = known.astype(np.int64), words.indices.to_numpy(zero_copy_only=False)
         lengths = self.lengths[known][codes]
         ends = np.cumsum(lengths, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
@@ -260,14 +277,18 @@ def write_shards(
         for batch in batches:
             for piece in pieces(batch, 1):
                 got, n = encoder.encode(piece.column(1))
-                ends = np.cumsum(n)
-                got = np.insert(got, ends, end_id)
+                got = np.insert(got, np.cumsum(n), end_id).astype(np.uint32)
                 n, own = n + 1, pc.fill_null(piece.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
-                ids.append(got.astype(np.uint32)), names.append(own), lengths.append(n)
-                held += len(got)
-                if held >= shard_tokens:
-                    yield flush()
-                    held, shard = 0, shard + 1
+                ends, at = np.cumsum(n), 0
+                while at < len(n):
+                    done = int(ends[at - 1]) if at else 0
+                    to = min(len(n), int(np.searchsorted(ends, done + shard_tokens - held)) + 1)
+                    ids.append(got[done : ends[to - 1]]), names.append(own[at:to]), lengths.append(n[at:to])
+                    held += int(ends[to - 1]) - done
+                    at = to
+                    if held >= shard_tokens:
+                        yield flush()
+                        held, shard = 0, shard + 1
         if lengths:
             yield flush()
 
@@ -305,7 +326,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     ["id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    tasks = manifest.select("path", "start").repartition("path")
+    # one task for each few files; without a number the tiny manifest would be read in one
+    tasks = manifest.select("path", "start").repartition(max(1, -(-manifest.count() // FILES_A_TASK)), "path")
     return tasks.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 

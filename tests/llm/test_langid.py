@@ -22,7 +22,7 @@ def rows():
     out = [(k, text(rng, lang := rng.choice(list(WORDS)), rng.randrange(8, 60)), lang, f"host-{lang}") for k in range(300)]
     out += [(1000 + k, t, "en", None) for k, t in enumerate(odd_texts(rng)[:5])]
     out += [(2000, text(rng, "de", 30), "en", "host-de"), (2001, text(rng, "fr", 30), None, None)]
-    out += [(3000, "".join(rng.choice("qxzjkvw0123456789") for _ in range(400)), "en", "host-en")]
+    out += [(3000, "".join(rng.choice("qxzjkvw0123456789") for _ in range(400)), None, "host-en")]
     return [*out, out[0], (None, text(rng, "en", 20), "en", "host-en")]
 
 

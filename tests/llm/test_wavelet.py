@@ -36,16 +36,18 @@ def plain(text):
 def test_encoder_against_the_tokenizer(monkeypatch):
     monkeypatch.setattr(wavelet, "CACHED_WORDS", 50)
     rng = random.Random(8)
-    odd = ["it's  we'LL\r\nx y z é ́a 12,5%% ...!!", "<|endoftext|>a <|startoftext|>", "a\x1cb\x85c", "ΣΑΣ ΟΔΟΣ"]
+    odd = ["Bare, words. Here,, and. so,. \"A,\" b.\nC., D,", "it's  we'LL\r\nx y z é ́a 12,5%% ...!!", "<|endoftext|>a <|startoftext|>", "a\x1cb\x85c", "ΣΑΣ ΟΔΟΣ"]
     texts = [*odd_texts(rng), *odd, *(" ".join(words(rng, 30)) for _ in range(30))]
     encoder = wavelet.WordEncoder(vocabulary_path(wavelet.WORD_BPE))
     for part in (texts[:5], texts[5:], texts[3:9], [], [None]):
         ids, n = encoder.encode(pa.array(part, pa.string()))
         assert n.tolist() == [len(plain(t)) for t in part]
         assert ids.tolist() == [x for t in part for x in plain(t)]
+    ids, n = encoder.encode(pa.array(texts, pa.string()).slice(4, 20))
+    assert ids.tolist() == [x for t in texts[4:24] for x in plain(t)] and len(n) == 20
 
 
-def test_written_and_read_back(spark, tmp_path, monkeypatch):
+def test_written_and_read_back(spark, tmp_path):
     rng = random.Random(9)
     rows = [(900 - k, t) for k, t in enumerate(odd_texts(rng))] + [(k, " ".join(words(rng, rng.randrange(50)))) for k in range(80)]
     rows += [rows[3], (None, "no id"), (-5, "before all")]
