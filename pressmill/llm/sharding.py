@@ -57,18 +57,19 @@ def group_ends(rows: DataFrame) -> DataFrame:
 class Ends:
     """Sorted ends as far as they are known; ``open`` counts unknown ones after each."""
 
-    def __init__(self, spans: list[tuple[int, int, int]]):
-        """spans: first end, last end and number of ends of each summary cell."""
-        self.known, self.open, self.touched = [0], [0], set()
+    def __init__(self, spans: list[tuple[int, int, int, int]]):
+        """spans: bucket, first end, last end and number of ends of each summary cell."""
+        self.known, self.open, self.bucket, self.touched = [0], [0], [0], set()
         self._add(spans)
 
-    def _add(self, spans: list[tuple[int, int, int]]) -> None:
-        for first, last, n in sorted(spans):
-            self.known.append(first)
-            self.open.append(max(0, n - 2))
+    def _add(self, spans: list[tuple[int, int, int, int]]) -> None:
+        rows = list(zip(self.known, self.open, self.bucket, strict=True))
+        for bucket, first, last, n in spans:
+            rows.append((first, max(0, n - 2), bucket))
             if n > 1:
-                self.known.append(last)
-                self.open.append(0)
+                rows.append((last, 0, bucket))
+        rows.sort()
+        self.known, self.open, self.bucket = (list(x) for x in zip(*rows, strict=True))
 
     def floor(self, at: int) -> int:
         """The largest known end at or below ``at``; exact if no gap is touched."""
@@ -86,21 +87,18 @@ class Ends:
 
     def refine(self, ends: DataFrame) -> None:
         """Learns more ends in the touched gaps, by one aggregation over these alone."""
-        gaps = sorted(self.touched)
-        cells = max(2, MAX_SUMMARY // len(gaps))
-        lows = F.array(*[F.lit(self.known[i]) for i in gaps])
-        highs = F.array(*[F.lit(self.known[i + 1]) for i in gaps])
-        # the gap that an end may lie in is the last whose low is below it
-        inside = ends.select("end", F.size(F.filter(lows, lambda low: low < F.col("end"))).alias("g")).where("g > 0")
-        inside = inside.select("end", "g", F.get(lows, F.col("g") - 1).alias("low"), F.get(highs, F.col("g") - 1).alias("high"))
+        cells = max(2, MAX_SUMMARY // len(self.touched))
+        gaps = ", ".join(f"({self.bucket[i]}, {self.known[i]}L, {self.known[i + 1]}L)" for i in sorted(self.touched))
+        gaps = ends.sparkSession.sql(f"select * from values {gaps} as gaps(bucket, low, high)")
+        # at most as many gaps as a search makes lookups
+        inside = ends.join(F.broadcast(gaps), "bucket").where("low < end and end < high")
         cell = F.expr(f"(end - low - 1) div greatest(1, (high - low + {cells - 1}) div {cells})")
-        found = inside.where("end < high").groupBy("g", cell.alias("cell")).agg(F.min("end"), F.max("end"), F.count("*"))
-        spans = [tuple(r)[2:] for r in found.collect()]
-        for i in gaps:
+        found = inside.groupBy("bucket", "low", cell.alias("cell")).agg(F.min("end"), F.max("end"), F.count("*"))
+        spans = [(r[0], *tuple(r)[3:]) for r in found.collect()]
+        for i in self.touched:
             self.open[i] = 0
+        self.touched = set()
         self._add(spans)
-        order = sorted(range(len(self.known)), key=self.known.__getitem__)
-        self.known, self.open, self.touched = [self.known[i] for i in order], [self.open[i] for i in order], set()
 
 
 def _greedy(ends: Ends, total: int, capacity: int, shards: int) -> list[int]:
@@ -143,7 +141,7 @@ def minimax_cuts(ends: DataFrame, shards: int) -> tuple[int, list[int]]:
     spans = ends.groupBy("bucket").agg(F.min("end"), F.max("end"), F.count("*")).collect()
     if not spans:
         return 0, []
-    known = Ends([tuple(r)[1:] for r in spans])
+    known = Ends([tuple(r) for r in spans])
     total = known.known[-1]
     while True:
         capacity, cuts = _search(known, total, shards)
