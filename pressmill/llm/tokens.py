@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pressmill.llm.common import offsets, table
+from pressmill.llm.common import materialize, offsets, table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Lengths in one block of the two-level suffix sums.
@@ -69,7 +69,8 @@ def length_histogram(lengths: DataFrame, n_col: str = "n") -> DataFrame:
     """
     n = F.col("n")
     hist = lengths.select(F.col(n_col).cast("long").alias("n")).where(n.isNotNull())
-    hist = hist.groupBy("n").agg(F.count("*").alias("docs"))
+    # written, else the texts would be encoded for the sums over blocks and again for the rows
+    hist = materialize(hist.groupBy("n").agg(F.count("*").alias("docs")), "histogram")
     hist = hist.withColumn("tokens", n * F.col("docs")).withColumn("block", F.floor(n / BLOCK))
     blocks = hist.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     blocks = offsets(offsets(blocks, ["block"], "bd", "docs_before"), ["block"], "bt", "tokens_before")
