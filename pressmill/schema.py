@@ -3,8 +3,19 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Fields as ``name type``; Spark's own parser would need a session when this is imported."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in spec.split(","))])
+
+
+def extended(schema: T.StructType, spec: str) -> T.StructType:
+    return T.StructType([*schema.fields, *_struct(spec).fields])
 
 
 SOURCE = _struct(

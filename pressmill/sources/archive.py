@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 from pressmill.functions.text import slug
 from pressmill.operators.keys import only_new
-from pressmill.schema import ARCHIVE_RECORD
+from pressmill.schema import ARCHIVE_RECORD, extended
 
 PLAUSIBLE_ARTICLES = 20
-_SCHEMA = ARCHIVE_RECORD.add("day", "date").add("source_slug", "string")
+_SCHEMA = extended(ARCHIVE_RECORD, "day date, source_slug string")
 
 
 def write_days(records: DataFrame, root: str) -> None:
@@ -49,10 +49,13 @@ def read_source_day(spark: SparkSession, root: str, day: str, source_slug: str)
     """One (day, source), all or nothing: a line that is no JSON empties the result."""
     if not exists(spark, root):
         return spark.createDataFrame([], _SCHEMA)
-    raw = spark.read.schema(_SCHEMA.add("_broken", "string")).option("columnNameOfCorruptRecord", "_broken").json(root)
-    own = raw.where((F.col("day") == F.lit(day).cast("date")) & (F.col("source_slug") == source_slug))
-    broken = own.select(F.max(F.col("_broken").isNotNull()).alias("any_broken"))
-    return own.crossJoin(F.broadcast(broken)).where("not any_broken").drop("_broken", "any_broken")
+    lines = spark.read.schema("value string, day date, source_slug string").text(root)
+    own = lines.where((F.col("day") == F.lit(day).cast("date")) & (F.col("source_slug") == source_slug)).where(F.trim("value") != "")
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    own = own.withColumn("r", F.from_json("value", extended(ARCHIVE_RECORD, "_broken string"), options))
+    broken = own.agg(F.coalesce(F.bool_or(F.col("r._broken").isNotNull()), F.lit(False)).alias("any_broken"))
+    fields = [F.col(f"r.{n}") for n in ARCHIVE_RECORD.names]
+    return own.crossJoin(F.broadcast(broken)).where("not any_broken").select(*fields, "day", "source_slug")
 
 
 def stored_days(records: DataFrame) -> DataFrame:
