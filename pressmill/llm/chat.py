@@ -195,3 +195,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(CONTROL).alias("text"),
     )
     return read_tree(write_tree(rows.unionByName(planted)))
+
+
+_SQL_ESCAPED = "regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+_SQL_ROLE = _SQL_ESCAPED.format("replace(regexp_replace(role, '<(\\\\*)n>', '<\\\\\\1n>', 'g'), chr(10), '<n>')")
+ORACLE_SQL = f"""with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all
+    select -1, t, case t when 0 then 'user' else '{ASSISTANT}' end, '{CONTROL}' from range(2) r(t))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = '{ASSISTANT}'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = '{ASSISTANT}'), '')) as loss_sha256,
+    sum({len(START) + len(END) + 2} + length({_SQL_ROLE}) + length({_SQL_ESCAPED.format("text")}))::bigint as formatted_chars
+from turns group by conv_id"""

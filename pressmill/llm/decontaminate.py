@@ -38,16 +38,23 @@ NUMBER, UNIT, NAME = "\u0001", "\u0002", "\u0003"
 _PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—·"
 
 
+_NUMBER_TEXT = r"[0-9]+(?:[.,][0-9]+)*"
+_UNIT_TEXT = "|".join(sorted(UNITS, key=len, reverse=True))
+
+
 def template_words(text: Column) -> Column:
     """The words of a text; those that fill a slot carry the mark of its type in front."""
     marks = NUMBER + UNIT + NAME
     clean = F.when(text.rlike(f"[{marks}]"), F.translate(text, marks, "   ")).otherwise(text)
-    unit = "|".join(sorted(UNITS, key=len, reverse=True))
-    with_units = F.regexp_replace(clean, rf"\b(\d+(?:[.,]\d+)*)\s?((?i:{unit})\b|[%€$£°])", f"{NUMBER}$1 {UNIT}$2")
-    numbers = F.regexp_replace(with_units, rf"(?<![{NUMBER}\d.,])\b(\d+(?:[.,]\d+)*)", f"{NUMBER}$1")
+    in_words = rf"({_NUMBER_TEXT})\s?((?i:{_UNIT_TEXT}))([^\p{{L}}\p{{N}}]|$)"
+    numbers = F.regexp_replace(clean, in_words, f"{NUMBER}$1 {UNIT}$2$3")
+    numbers = F.regexp_replace(numbers, rf"({_NUMBER_TEXT})\s?([%€$£°])", f"{NUMBER}$1 {UNIT}$2")
+    numbers = F.regexp_replace(numbers, f"({_NUMBER_TEXT})", f"{NUMBER}$1")
+    # numbers before a unit are marked twice by now, or three times
+    numbers = F.regexp_replace(numbers, f"{NUMBER}+", NUMBER)
     numbers = F.when(clean.rlike("[0-9]"), numbers).otherwise(clean)
     names = F.regexp_replace(numbers, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})", f"{NAME}$0")
-    words = F.split(F.lower(F.translate(names, _PUNCTUATION, "")), r"\s+")
+    words = F.split(F.lower(F.translate(names, _PUNCTUATION, "")), r"[ \t\n\r\f]+")
     return F.filter(words, lambda w: w != "")
 
 
@@ -118,3 +125,36 @@ def contaminated(
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "windows", F.col("at").alias("at_word"))
+
+
+def _sql_words(text: str) -> str:
+    """``template_words`` in DuckDB's SQL."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    marks = {NUMBER: "chr(1)", UNIT: "chr(2)", NAME: "chr(3)"}
+    t = f"translate({text}, {' || '.join(marks.values())}, '   ')"
+    t = f"regexp_replace({t}, {q(rf'({_NUMBER_TEXT})\s?((?i:{_UNIT_TEXT}))([^\p{{L}}\p{{N}}]|$)')}, chr(1) || '\\1 ' || chr(2) || '\\2\\3', 'g')"
+    t = f"regexp_replace({t}, {q(rf'({_NUMBER_TEXT})\s?([%€$£°])')}, chr(1) || '\\1 ' || chr(2) || '\\2', 'g')"
+    t = f"regexp_replace({t}, {q(f'({_NUMBER_TEXT})')}, chr(1) || '\\1', 'g')"
+    t = f"regexp_replace({t}, chr(1) || '+', chr(1), 'g')"
+    for _ in range(2):  # a match takes the letter that the next one would look back at
+        t = f"regexp_replace({t}, {q(r'([\p{L}\p{N},;] )(\p{Lu})')}, '\\1' || chr(3) || '\\2', 'g')"
+    t = f"lower(translate({t}, {q(_PUNCTUATION)}, ''))"
+    return f"list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+
+
+def _sql_windows(name: str, table_: str, id_: str) -> str:
+    shape = "lambda w: case when w < chr(4) then substr(w, 1, 1) else w end"
+    return f"""{name}_w as (select {id_} as id, {_sql_words("coalesce(text, '')")} as w from {table_}),
+    {name}_at as (select distinct id, unnest(range(0, greatest(len(w) - {WINDOW - 1}, 0))) as pos, w from {name}_w),
+    {name} as (select id, pos, w[pos + 1:pos + {WINDOW}] as slots, array_to_string(list_transform(w[pos + 1:pos + {WINDOW}], {shape}), chr(9)) as key from {name}_at)"""
+
+
+ORACLE_SQL = f"""with {_sql_windows("docs", "documents", "doc_id")}, {_sql_windows("items", "benchmark", "item_id")},
+    good as (select distinct * from items where len(list_filter(slots, lambda w: w >= chr(4))) >= {MIN_LITERALS}),
+    need as (select id, least(count(*), {MIN_WINDOWS}) as need from good group by id),
+    hits as (select d.id as doc, i.id as item, i.pos, d.pos - i.pos as diagonal, i.slots as asked, d.slots as found from docs d join good i using (key)),
+    filled as (select distinct doc, item, diagonal, unnest(asked) as a, unnest(found) as f from hits),
+    bad as (select doc, item, diagonal from filled where a < chr(4) group by doc, item, diagonal, a having count(distinct f) > 1),
+    diagonals as (select doc, item, diagonal, count(distinct pos) as windows from hits anti join bad using (doc, item, diagonal) group by all)
+select doc as doc_id, item as item_id, windows, diagonal::int as at_word from diagonals join need on item = id where windows >= need
+qualify row_number() over (partition by doc, item order by windows desc, diagonal) = 1"""

@@ -28,4 +28,9 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on tokenizers, trained models, 64-bit hashes or searches that SQL has no words for.
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.ORACLE_SQL,
+    "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_chat": chat.ORACLE_SQL,
+}

@@ -159,3 +159,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block_rows: int = BLO
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return top_k(rows, rows.where(F.col("id") % 20 == 0)).withColumnRenamed("id", "vec_id")
+
+
+ORACLE_SQL = f"""with x as (select vec_id, list_transform(embedding, lambda c: floor({SCALE} * c::double)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+    scores as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+        from x q join x c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from scores qualify rank <= {K}"""
