@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 A text becomes a sequence of template words: lower case, without punctuation, and with typed
-placeholders for numbers, units after numbers, and names (capitalised words inside a
-sentence). Windows of ``WINDOW`` template words of documents are hash-joined with those of
+placeholders for numbers, units after numbers, and names (words inside a sentence with a
+capital first letter and a small second one). Windows of ``WINDOW`` template words of documents are hash-joined with those of
 the benchmark, so a question asked again with other numbers or names still meets its original.
 
 Slot consistency then tells a re-parameterised question from chance: over the windows of one
@@ -53,7 +53,7 @@ def template_words(text: Column) -> Column:
     # numbers before a unit are marked twice by now, or three times
     numbers = F.regexp_replace(numbers, f"{NUMBER}+", NUMBER)
     numbers = F.when(clean.rlike("[0-9]"), numbers).otherwise(clean)
-    names = F.regexp_replace(numbers, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})", f"{NAME}$0")
+    names = F.regexp_replace(numbers, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})(?=\p{Ll})", f"{NAME}$0")
     words = F.split(F.lower(F.translate(names, _PUNCTUATION, "")), r"[ \t\n\r\f]+")
     return F.filter(words, lambda w: w != "")
 
@@ -137,7 +137,7 @@ def _sql_words(text: str) -> str:
     t = f"regexp_replace({t}, {q(f'({_NUMBER_TEXT})')}, chr(1) || '\\1', 'g')"
     t = f"regexp_replace({t}, chr(1) || '+', chr(1), 'g')"
     for _ in range(2):  # a match takes the letter that the next one would look back at
-        t = f"regexp_replace({t}, {q(r'([\p{L}\p{N},;] )(\p{Lu})')}, '\\1' || chr(3) || '\\2', 'g')"
+        t = f"regexp_replace({t}, {q(r'([\p{L}\p{N},;] )(\p{Lu}\p{Ll})')}, '\\1' || chr(3) || '\\2', 'g')"
     t = f"lower(translate({t}, {q(_PUNCTUATION)}, ''))"
     return f"list_filter(regexp_split_to_array({t}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
 
