@@ -135,13 +135,13 @@ def word_counts(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "default_language",
-    """select doc_id, source, case when doc_id % 3 = 0 then s.language else d.lang end as language
+    """select doc_id, source, case when n_chars > 2000 then s.language else d.lang end as language
     from documents d join (select source, min(lang) as language from documents group by source) s using (source)""",
 )
 def default_language(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     own = docs.groupBy("source").agg(F.min("lang").alias("language"))
-    blank = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")))
+    blank = docs.withColumn("lang", F.when(F.col("n_chars") > 2000, "").otherwise(F.col("lang")))
     return blank.join(own, "source").select("doc_id", "source", F.when(F.col("lang") != "", F.col("lang")).otherwise(F.col("language")).alias("language"))
 
 
@@ -203,13 +203,13 @@ def parsed_times(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "report_windows",
     """with m as (select ['जानेवारी', 'फेब्रुवारी', 'मार्च', 'एप्रिल', 'मे', 'जून', 'जुलै', 'ऑगस्ट', 'सप्टेंबर', 'ऑक्टोबर', 'नोव्हेंबर', 'डिसेंबर'] as n),
-    d as (select o_orderkey, o_orderdate::date as a, (o_orderdate + interval 7 day)::date as b from orders where o_orderkey < 3000)
+    d as (select o_orderkey, o_orderdate::date as a, (o_orderdate + interval 7 day)::date as b from orders)
     select o_orderkey, case when o_orderkey % 10 = 0 then 'soon – ' || strftime(b, '%m/%d/%Y') else
         day(a) || ' ' || n[month(a)] || ' ' || year(a) || ' ते ' || day(b) || ' ' || n[month(b)] || ' ' || year(b)
         || ' (' || strftime(a, '%Y-%m-%d') || ' – ' || strftime(b, '%Y-%m-%d') || ')' end as report_window from d, m""",
 )
 def report_windows(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "orders").where("o_orderkey < 3000")
+    rows = table(spark, root, "orders")
     a = F.when(F.col("o_orderkey") % 10 == 0, "soon").otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
     b = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 7), "MM/dd/yyyy")
     return rows.select("o_orderkey", T.window_text(a, b).alias("report_window"))
@@ -244,13 +244,14 @@ def first_passing(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "master_append",
-    """with rows as (select 0 as part, doc_id, text, source from documents where doc_id % 2 = 0 union all
-        select 1, doc_id, text, source from documents where doc_id % 3 = 0)
+    """with rows as (select 0 as part, doc_id, text, source from documents where lang <> 'en' union all
+        select 1, doc_id, text, source from documents)
     select text, doc_id, source from rows qualify row_number() over (partition by text order by part, doc_id) = 1""",
 )
 def master_append(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").select("text", "doc_id", "source")
-    return keys.append_keep_first(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "text", [F.asc("doc_id")])
+    docs = table(spark, root, "documents")
+    old, new = (d.select("text", "doc_id", "source") for d in (docs.where("lang <> 'en'"), docs))
+    return keys.append_keep_first(old, new, "text", [F.asc("doc_id")])
 
 
 @query("anti_new_urls", "select doc_id, source from documents where doc_id not in (select doc_id from labels)")
@@ -264,30 +265,32 @@ def semi_skipped(spark: SparkSession, root: str) -> DataFrame:
     return stored.groupBy("source").agg(F.count("*").alias("skipped"))
 
 
-@query("left_bodies", "select l.doc_id, l.quality, coalesce(d.text, '') as text from labels l left join (select * from documents where doc_id % 2 = 0) d using (doc_id)")
+@query("left_bodies", "select l.doc_id, l.quality, coalesce(d.text, '') as text from labels l left join (select * from documents where lang = 'en') d using (doc_id)")
 def left_bodies(spark: SparkSession, root: str) -> DataFrame:
-    bodies = table(spark, root, "documents").where("doc_id % 2 = 0").select("doc_id", "text")
+    bodies = table(spark, root, "documents").where("lang = 'en'").select("doc_id", "text")
     return keys.with_bodies(table(spark, root, "labels").select("doc_id", "quality"), bodies, "doc_id")
 
 
 @query(
     "profile_upsert",
-    """select c_custkey::varchar as id, case when c_custkey % 4 = 0 then upper(c_name) else c_name end as name, c_custkey % 4 = 0 as changed
-    from customer where c_custkey % 2 = 0""",
+    """select c_custkey::varchar as id, case when c_acctbal < 0 then upper(c_name) else c_name end as name, c_acctbal < 0 as changed from customer""",
 )
 def profile_upsert(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("t0").alias("created"), F.lit(False).alias("changed"))
-    stored, changes = rows.where("id % 2 = 0"), rows.where("id % 4 = 0").withColumn("name", F.upper("name")).withColumn("changed", F.lit(True))
+    own = [F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("t0").alias("created"), F.lit(False).alias("changed")]
+    rows = table(spark, root, "customer")
+    # half of the changes replace a stored row, half are new
+    stored = rows.where("c_acctbal >= 0 or c_nationkey < 12").select(*own)
+    changes = rows.where("c_acctbal < 0").select(*own).withColumn("name", F.upper("name")).withColumn("changed", F.lit(True))
     return registry.upserted(stored, changes).select("id", "name", "changed")
 
 
 @query(
     "run_listing",
     """select o_orderkey::varchar as id, o_orderstatus as status, o_orderkey in (select l_orderkey from lineitem where l_discount > 0.09) as has_report
-    from orders where o_orderkey < 2000""",
+    from orders""",
 )
 def run_listing(spark: SparkSession, root: str) -> DataFrame:
-    runs = table(spark, root, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
+    runs = table(spark, root, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status"))
     reports = table(spark, root, "lineitem").where("l_discount > 0.09").select(F.col("l_orderkey").cast("string").alias("id"))
     return registry.list_runs(runs, reports)
 
@@ -456,22 +459,30 @@ def run_articles(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "csv_export",
     f"""with {_ARTICLES} select source, strftime(published, '%Y-%m-%d %H:%M') as published, title, url, printf('%.4f', 1 / (1 + exp(-{_SCORE}))) as relevance,
-    {_WORDS.format('text')}::bigint as words, lang, case when doc_id % 2 = 0 then text else '' end as text from articles""",
+    {_WORDS.format('text')}::bigint as words, lang, case when lang = 'en' then text else '' end as text from articles""",
 )
 def csv_export(spark: SparkSession, root: str) -> DataFrame:
     docs = articles(spark, root).withColumn("score", F.expr(f"double({_SCORE})")).withColumn("published", T.minute(F.col("published")))
-    bodies = docs.where("doc_id % 2 = 0").select("url", "text")
+    bodies = docs.where("lang = 'en'").select("url", "text")
     return report.csv_rows(keys.with_bodies(report.run_articles(docs), bodies), with_text=True)
 
 
 # ---------------------------------------------------------------- archive, harvest, stream
 
-_RECORDS = f"""{_ARTICLES}, records as (select *, published::date as day from articles where doc_id % 30 not in (3, 4, 17))"""
+_RECORDS = f"""{_ARTICLES}, records as (select *, published::date as day from articles)"""
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
-    rows = articles(spark, root).where("doc_id % 30 not in (3, 4, 17)")
-    return rows.withColumn("day", F.col("published").cast("date"))
+    return articles(spark, root).withColumn("day", F.col("published").cast("date"))
+
+
+#: Orders stand for an archive with gaps: few of them leave days without any.
+_ORDERS = "records as (select o_orderdate::date as day, o_orderpriority as source from orders where o_orderstatus = 'P')"
+
+
+def _orders(spark: SparkSession, root: str) -> DataFrame:
+    rows = table(spark, root, "orders").where("o_orderstatus = 'P'")
+    return rows.select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("source"))
 
 
 @query("day_counts", f"with {_RECORDS} select day, source, count(*) as articles from records group by all")
@@ -479,31 +490,31 @@ def day_counts(spark: SparkSession, root: str) -> DataFrame:
     return archive.day_counts(_records(spark, root))
 
 
-@query("missing_days", f"with {_RECORDS} select d::date as day from (select unnest(generate_series(min(day), max(day), interval 1 day)) as d from records) where d::date not in (select day from records)")
+@query("missing_days", f"with {_ORDERS} select d::date as day from (select unnest(generate_series(min(day), max(day), interval 1 day)) as d from records) where d::date not in (select day from records)")
 def missing_days(spark: SparkSession, root: str) -> DataFrame:
-    return archive.missing_days(_records(spark, root))
+    return archive.missing_days(_orders(spark, root))
 
 
 @query(
     "archive_status",
-    f"""with {_RECORDS}, gaps as (select d::date as day from (select unnest(generate_series(min(day), max(day), interval 1 day)) as d from records) where d::date not in (select day from records))
+    f"""with {_ORDERS}, gaps as (select d::date as day from (select unnest(generate_series(min(day), max(day), interval 1 day)) as d from records) where d::date not in (select day from records))
     select count(distinct day) as days, min(day) as first_day, max(day) as last_day, count(*) as articles,
     (select string_agg(day::varchar, ',' order by day) from gaps) as missing from records""",
 )
 def archive_status(spark: SparkSession, root: str) -> DataFrame:
-    return archive.status(_records(spark, root)).withColumn("missing", F.array_join(F.transform("missing", lambda d: d.cast("string")), ","))
+    return archive.status(_orders(spark, root)).withColumn("missing", F.array_join(F.transform("missing", lambda d: d.cast("string")), ","))
 
 
 @query(
     "harvest_counters",
     """select source, count(*) as articles, count(*) filter (where doc_id in (select doc_id from labels)) as skipped,
-    count(*) filter (where doc_id not in (select doc_id from labels) and doc_id % 10 <> 0) as new,
-    count(*) filter (where doc_id not in (select doc_id from labels) and doc_id % 10 = 0) as failed from documents group by source""",
+    count(*) filter (where doc_id not in (select doc_id from labels) and n_chars >= 200) as new,
+    count(*) filter (where doc_id not in (select doc_id from labels) and n_chars < 200) as failed from documents group by source""",
 )
 def harvest_counters(spark: SparkSession, root: str) -> DataFrame:
     found = articles(spark, root).withColumn("day", F.col("published").cast("date"))
     stored = found.join(table(spark, root, "labels").select("doc_id"), "doc_id", "left_semi").select(*found.columns)
-    found = found.withColumn("text", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")))
+    found = found.withColumn("text", F.when(F.length("text") < 200, "").otherwise(F.col("text")))
     return archive.harvest(found, stored)[1]
 
 
