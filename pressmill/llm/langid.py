@@ -189,7 +189,9 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
         "size",
     )
     noise = (F.col("size") >= MIN_GAIN_BYTES) & (F.col("gain") < MIN_GAIN)
-    return out.select("id", "lang", "confidence", "gain", ((F.col("confidence") >= MIN_CONFIDENCE) & ~noise).alias("accepted"))
+    out = out.select("id", "lang", "confidence", "gain", ((F.col("confidence") >= MIN_CONFIDENCE) & ~noise).alias("accepted"))
+    # written, as a filter pushed down through these expressions would multiply them
+    return materialize(out, "languages")
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
