@@ -4,8 +4,8 @@ The text view sees hashed four-byte sequences of the whole text and how concentr
 the metadata view sees what a page declares and how it is laid out: language, source, declared
 size, lines, shares of capitals, digits and marks. Both are logistic models. In each round
 each view labels the unlabelled pool's rows it is surest of for the other view, in the classes'
-proportion. Held-out labelled rows then calibrate each view and the sum of both, and set the
-threshold; every document is scored by the calibrated sum.
+proportion. Held-out labelled rows then calibrate each view and both together, and set the
+threshold; every document is scored by the calibrated combination.
 
 Only the fit works on bounded samples (``MAX_LABELLED`` labelled rows, ``MAX_POOL`` unlabelled
 ones, drawn by a hash of the id, about); scoring covers all documents.
@@ -111,38 +111,48 @@ class Linear:
         return ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
-def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (never negative) and offset that turn a score into log-odds, by Platt's method.
+def calibration(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes (never negative) and offset that turn scores, a column each, into log-odds, by Platt's method.
 
-    Newton steps on the smoothed targets with a small pull to slope 1, halved until they help.
+    Newton steps on the smoothed targets with a small pull to the mean of the scores, halved
+    until they help; a column that would get a negative slope is left out.
     """
+    z = z.reshape(len(y), -1)
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0.5, (good + 1) / (good + 2), 1 / (bad + 2))
-    x, w, rest = np.stack((z, np.ones(len(z))), axis=1), np.array([1.0, 0.0]), np.array([1.0, 0.0])
-
-    def loss(w: np.ndarray) -> float:
-        t = x @ w
-        return float((np.logaddexp(0, t) - target * t).sum() + 0.5 * ((w - rest) ** 2).sum())
-
-    for _ in range(50):
-        p = _sigmoid(x @ w)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2)
-        step, now = np.linalg.solve(hess, x.T @ (target - p) - (w - rest)), loss(w)
-        while loss(w + step) > now and np.abs(step).max() > 1e-9:
-            step = step / 2
-        w = w + step
-        if np.abs(step).max() < 1e-7:
-            break
-    return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((good + 1) / (bad + 1))))
+    use = np.ones(z.shape[1] + 1, bool)
+    while True:
+        x = np.concatenate((z, np.ones((len(z), 1))), axis=1)[:, use]
+        rest = np.append(np.full(use.sum() - 1, 1 / max(1, use.sum() - 1)), 0.0)
+        w = rest.copy()
+
+        def loss(w: np.ndarray, x: np.ndarray = x, rest: np.ndarray = rest) -> float:
+            t = x @ w
+            return float((np.logaddexp(0, t) - target * t).sum() + 0.5 * ((w - rest) ** 2).sum())
+
+        for _ in range(50):
+            p = _sigmoid(x @ w)
+            hess = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+            step, now = np.linalg.solve(hess, x.T @ (target - p) - (w - rest)), loss(w)
+            while loss(w + step) > now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w + step
+            if np.abs(step).max() < 1e-7:
+                break
+        if (w[:-1] >= 0).all():
+            out = np.zeros(len(use))
+            out[use] = w
+            return out
+        use[np.nonzero(use)[0][:-1][w[:-1] < 0]] = False
 
 
 @dataclass
 class CoTrained:
-    """Two views, their calibrations, and the calibration of their sum."""
+    """Two views, their calibrations, and the calibration of the two together."""
 
     views: tuple[Linear, Linear]
-    scales: tuple[tuple[float, float], tuple[float, float]]
-    joint: tuple[float, float]
+    scales: tuple[np.ndarray, np.ndarray]
+    joint: np.ndarray
     threshold: float
     exchanged: list[tuple[int, int]]
     held_out: dict[str, float]
@@ -150,7 +160,7 @@ class CoTrained:
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities of good quality: text view, metadata view, both."""
         z = [a * v.logit(x) + b for v, x, (a, b) in zip(self.views, (text, meta), self.scales, strict=True)]
-        return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.joint[0] * (z[0] + z[1]) + self.joint[1])
+        return _sigmoid(z[0]), _sigmoid(z[1]), _sigmoid(self.joint[0] * z[0] + self.joint[1] * z[1] + self.joint[2])
 
 
 def co_train(
@@ -186,7 +196,7 @@ def co_train(
         models = fitted()
     z = [m.logit(x[held]) for m, x in zip(models, views, strict=True)]
     scales = tuple(calibration(zz, y[held]) for zz in z)
-    both = sum(a * zz + b for zz, (a, b) in zip(z, scales, strict=True))
+    both = np.stack([a * zz + b for zz, (a, b) in zip(z, scales, strict=True)], axis=1)
     out = CoTrained(tuple(models), scales, calibration(both, y[held]), 0.0, exchanged, {})
     parts = out.score(views[0][held], views[1][held])
     good = np.sort(parts[2][y[held] > 0.5])

@@ -41,7 +41,11 @@ def test_windows_against_brute_force(spark):
         piece = items[k % 20][1].split()
         lo = rng.randrange(len(piece))
         docs.append((k, " ".join(words(rng, 20, 3000) + piece[lo : lo + rng.randrange(1, 40)] + words(rng, 20, 3000))))
-    grams = lambda t: [tuple(t.split()[i : i + 8]) for i in range(len(t.split()) - 7)]
+
+    def grams(text):
+        w = text.split()
+        return [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+
     want = []
     for doc, text in docs:
         own = set(grams(text or ""))

@@ -16,7 +16,7 @@ def corpus():
         good = rng.random() < 0.7
         w = words(rng, rng.randrange(20, 120))
         if not good:
-            kind = k % 3
+            kind = rng.randrange(3)
             w = [w[0]] * len(w) if kind == 0 else [x + rng.choice(["$$$", "%%%"]) for x in w] if kind == 1 else [x.upper() + "!!" for x in w]
         rows.append((k, " ".join(w), "en", f"src{k % 7}"))
         labels.append((k, int(good), 0, 0.5))
