@@ -1,5 +1,8 @@
+import random
+
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from tests.llm.util import documents, odd_texts, words
 
 
 def test_stages_filter_and_pack(spark, sf_dir):
@@ -34,3 +37,29 @@ def test_benchmark_items_go(spark, sf_dir):
 def test_all_operators_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_stages_take_odd_rows_and_none(spark, sf_dir):
+    rng = random.Random(18)
+    texts = [*odd_texts(rng), *(" ".join(words(rng, 40)) for _ in range(30))]
+    rows = [(5000 + k, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else "src1") for k, t in enumerate(texts)]
+    rows += [rows[-1], (None, texts[-1], "en", "src1"), (None, None, None, None)]
+    for docs in (documents(spark, rows), documents(spark, [])):
+        columns = docs.columns
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf_dir).cache()
+            assert out.count() <= 2 * len(rows)
+            if name != "packing":
+                assert out.columns == columns, name
+                docs = out
+        if docs.count():
+            kept = {r["doc_id"] for r in docs.collect()}
+            assert None in kept and {r["doc_id"] for r in out.collect()} == kept
+            assert {5000 + k for k in range(len(texts) - 25, len(texts))} <= kept  # clean documents stay
+
+
+def test_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    few = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    monkeypatch.setattr(pipeline, "BROADCAST_IDS", 0)
+    assert {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()} == few
