@@ -76,3 +76,10 @@ def write_csv(articles: DataFrame, path: str, with_text: bool = False) -> None:
     rows = csv_rows(articles, with_text)
     rows = rows.withColumnRenamed("source", "﻿source")
     rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+
+
+def prompt(brief: str | None, human: str) -> list[tuple[str, str]]:
+    """The report's messages; braces of the brief are text, not slots. A blank brief is an error."""
+    if not (brief or "").strip():
+        raise ValueError("no brief for this profile")
+    return [("system", brief.replace("{", "{{").replace("}", "}}")), ("human", human)]

@@ -13,6 +13,7 @@ from pressmill.operators import clean, dedupe, keys, match, rank, report
 from pressmill.plans import live
 from pressmill.plans import search as archive_search_plan
 from pressmill.sources import archive, registry, sitemap
+from pressmill.sources import pages as stored_pages
 from pressmill.sources.tables import articles, table
 from pressmill.storage import new_path, written
 from pressmill.streaming import daily
@@ -636,3 +637,16 @@ def live_matches(spark: SparkSession, root: str) -> DataFrame:
 def live_documents(spark: SparkSession, root: str) -> DataFrame:
     return live.documents(live_matches(spark, root), table(spark, root, "pages"), min_words=30)
 
+
+
+@query(
+    "robots_filter",
+    r"""select url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host,
+    case when contains(url, '.example.com') then 3.0 else 2.0 end::double as delay from pages
+    where not (contains(url, '.example.com') and regexp_matches(url, '://[^/]*/fr/'))""",
+)
+def robots_filter(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages").select("url")
+    hosts = pages.select(T.url_host(F.col("url")).alias("host")).distinct()
+    rules = F.when(F.col("host").endswith(".example.com"), "User-agent: *\nDisallow: /fr/\nCrawl-delay: 3").when(F.col("host").endswith(".example.net"), "")
+    return stored_pages.allowed(pages, hosts.withColumn("robots", rules))

@@ -119,3 +119,19 @@ def plausible(counters: DataFrame) -> DataFrame:
 
 def skip_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
     return only_new(found, stored, "url")
+
+
+def merged_status(last: DataFrame, run: DataFrame) -> DataFrame:
+    """One row: a harvest's outcome laid over the last one's.
+
+    ``run`` is ``(day, finished, articles, ok)``; what says when the harvest last succeeded changes
+    only if it did.
+    """
+    old = last.select(F.col("last_success").alias("_s"), F.col("last_success_day").alias("_d"))
+    out = run.join(old, F.lit(True), "left")
+    return out.select(
+        F.when(F.col("ok"), F.col("finished")).otherwise(F.col("_s")).alias("last_success"),
+        F.when(F.col("ok"), F.col("day")).otherwise(F.col("_d")).alias("last_success_day"),
+        F.col("finished").alias("last_run"), F.col("day").alias("last_run_day"),
+        F.col("articles").alias("last_run_articles"), F.col("ok").alias("last_run_ok"),
+    )

@@ -143,3 +143,40 @@ def test_csv_bytes(spark, tmp_path):
 def test_registry_text(spark, tmp_path):
     (tmp_path / "r.md").write_text("# a\nb")
     assert registry.read_text(spark, str(tmp_path / "r.md")) == "# a\nb" and registry.read_text(spark, str(tmp_path / "no")) is None
+
+
+def test_page_cache(spark, tmp_path):
+    import hashlib
+
+    from pressmill.sources import pages
+
+    for url, data in (("http://h/a", "<p>é</p>".encode()), ("http://h/s.xml.gz", gzip.compress(b"<urlset/>")), ("http://h/bad.gz", b"\x1f\x8bno"), ("http://h/other", b"x")):
+        (tmp_path / f"{hashlib.sha256(url.encode()).hexdigest()[:32]}.bin").write_bytes(data)
+    urls = spark.createDataFrame([(u,) for u in ("http://h/a", "http://h/s.xml.gz", "http://h/bad.gz", "http://h/none", "http://h/a")], "url string")
+    got = {r["url"]: r["html"] for r in pages.cached_pages(spark, str(tmp_path), urls).collect()}
+    assert got == {"http://h/a": "<p>é</p>", "http://h/s.xml.gz": "<urlset/>", "http://h/bad.gz": None}
+
+
+def test_robots(spark):
+    from pressmill.sources import pages
+
+    urls = spark.createDataFrame([(u,) for u in ("http://a/x", "http://a/no/x", "http://b/no", "http://c/q")], "url string")
+    robots = spark.createDataFrame([("a", "User-agent: *\nDisallow: /no\nCrawl-delay: 5"), ("b", None)], "host string, robots string")
+    got = sorted(tuple(r) for r in pages.allowed(urls, robots).collect())
+    assert got == [("http://a/x", "a", 5.0), ("http://b/no", "b", 2.0), ("http://c/q", "c", 2.0)]
+
+
+def test_status_keeps_the_last_success(spark):
+    none = spark.createDataFrame([], "last_success string, last_success_day string")
+    run = lambda day, n, ok: spark.createDataFrame([(day, f"{day}T01", n, ok)], "day string, finished string, articles long, ok boolean")
+    first = archive.merged_status(none, run("d1", 30, True))
+    second = archive.merged_status(first, run("d2", 3, False)).first()
+    assert (second["last_success_day"], second["last_run_day"], second["last_run_ok"]) == ("d1", "d2", False)
+
+
+def test_prompt():
+    import pytest
+
+    assert report.prompt("a {b}", "h") == [("system", "a {{b}}"), ("human", "h")]
+    with pytest.raises(ValueError):
+        report.prompt(" ", "h")
