@@ -543,7 +543,6 @@ def archive_round_trip(spark: SparkSession, root: str) -> DataFrame:
 )
 def daily_stream(spark: SparkSession, root: str) -> DataFrame:
     """Daily counts as a stream in append mode: days that the watermark has passed."""
-    spark.conf.set("spark.sql.streaming.metricsEnabled", "false")
     source = table(spark, root, "events")
     staged = new_path(spark, "events")
     source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(staged)

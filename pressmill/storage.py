@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; one of our own only where the session names none (local mode)."""
     sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pressmill-"))
         place = sc.getCheckpointDir()
