@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pressmill.storage import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests in local mode, where driver and executors
-    are one process) a temporary folder is made and set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="pressmill-")
-        sc.setCheckpointDir(place)
-        place = sc.getCheckpointDir()
-    return place.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
