@@ -31,8 +31,8 @@ CAPACITIES = (1024, 2048, 4096, 8192)
 #: A sequence of c tokens costs c, c * c / ATTENTION for attention, and BIN_COST for itself.
 BIN_COST = 64
 ATTENTION = 65536
-#: Pieces numbered in one window partition, on average.
-CELL_ROWS = 100_000
+#: Pieces of one length that are numbered in one window partition, on average.
+CELL_ROWS = 20_000
 
 
 @dataclass
@@ -138,12 +138,14 @@ def pack(
     rows = rows.select("id", "piece", F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).cast("int").alias("len"))
     rows = materialize(rows, "pieces")
 
-    counts = {r["len"]: r["n"] for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most `largest`
-    plan = joint_plan(counts, capacities, cost)
+    # a row for each length: at most `largest`
+    sizes = rows.groupBy("len").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CELL_ROWS).alias("cells"))
+    sizes = materialize(sizes, "lengths")
+    plan = joint_plan({r["len"]: r["n"] for r in sizes.collect()}, capacities, cost)
 
-    # ranks of the pieces of a length, in cells dealt by id so that a hot length is shared out
-    cells = max(1, -(-max(counts.values(), default=0) // CELL_ROWS))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id", "piece"), F.lit(cells)).cast("int"))
+    # ranks of the pieces of a length; a hot length is shared out in cells dealt by id
+    rows = rows.join(F.broadcast(sizes.select("len", "cells")), "len")
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id", "piece"), F.col("cells")).cast("int"))
     first = offsets(rows.groupBy("len", "cell").agg(F.count("*").alias("c")), ["cell"], "c", "first", ["len"])
     inner = F.row_number().over(Window.partitionBy("len", "cell").orderBy("id", "piece")) - 1
     rows = rows.withColumn("inner", inner).join(first.select("len", "cell", "first"), ["len", "cell"])
