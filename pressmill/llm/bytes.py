@@ -49,15 +49,27 @@ def byte_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         at = to
 
 
-def gram_codes(data: np.ndarray, bits: int) -> np.ndarray:
-    """For each byte the hash of it and the three after it, A-Z as a-z (zeros after the end)."""
-    low = np.zeros(len(data) + 3, np.uint32)
-    low[: len(data)] = _LOWER[data]
+def gram_codes(data: np.ndarray, bits: int, starts: np.ndarray) -> np.ndarray:
+    """For each byte the hash of it and the three after it, A-Z as a-z, zeros after its row's end."""
     n = len(data)
+    low = np.zeros(n + 3, np.uint32)
+    low[:n] = _LOWER[data]
     word = low[:n] | low[1 : n + 1] << 8 | low[2 : n + 2] << 16 | low[3 : n + 3] << 24
+    ends, size = starts[1:], np.diff(starts)
+    for back, mask in ((1, 0xFF), (2, 0xFFFF), (3, 0xFFFFFF)):
+        word[ends[size >= back] - back] &= np.uint32(mask)
     return (word * np.uint32(2654435761)) >> np.uint32(32 - bits)
 
 
+def echoes(codes: np.ndarray, starts: np.ndarray, lags: range) -> np.ndarray:
+    """For each row how many of its codes come again after each of the lags, in all."""
+    own = codes.astype(np.uint64) + (np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts)) << np.uint64(32))
+    again = np.zeros(len(own), np.uint8)
+    for lag in lags:
+        again[lag:] += own[lag:] == own[:-lag]
+    return sums(again, starts)
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of consecutive non-empty runs."""
     return np.add.reduceat(values, starts[:-1], dtype=np.float64)

@@ -84,7 +84,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
         for b in batches:
             which = b.column("declared").to_pylist()
             for data, starts, rows_ in byte_rows(b.column("text")):
-                codes = gram_codes(data, GRAM_BITS)
+                codes = gram_codes(data, GRAM_BITS, starts)
                 for k, row in enumerate(rows_):
                     total[langs.index(which[row])] += np.bincount(codes[starts[k] : starts[k + 1]], minlength=1 << GRAM_BITS)
         lang, code = np.nonzero(total)
@@ -107,7 +107,7 @@ def text_likelihoods(rows: DataFrame, models: np.ndarray) -> DataFrame:
         for b in batches:
             ll, size = np.zeros((b.num_rows, len(models))), np.zeros(b.num_rows, np.int64)
             for data, starts, rows_ in byte_rows(b.column("text")):
-                codes = gram_codes(data, GRAM_BITS)
+                codes = gram_codes(data, GRAM_BITS, starts)
                 size[rows_] += np.diff(starts)
                 for k, model in enumerate(models):
                     ll[rows_, k] += sums(model[codes], starts)

@@ -1,6 +1,7 @@
 """Quality classification by co-training a text view and a page-metadata view.
 
-The text view sees hashed four-byte sequences of the whole text and how concentrated they are;
+The text view sees hashed four-byte sequences of the whole text, how concentrated they are and
+how often they come again soon;
 the metadata view sees what a page declares and how it is laid out: language, source, declared
 size, lines, shares of capitals, digits and marks. Both are logistic models. In each round
 each view labels the unlabelled pool's rows it is surest of for the other view, in the classes'
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressmill.llm.bytes import byte_rows, gram_codes, sums
+from pressmill.llm.bytes import byte_rows, echoes, gram_codes, sums
 from pressmill.llm.common import table
 
 MAX_LABELLED = 8000
@@ -33,7 +34,7 @@ ROUNDS = 4
 #: Pool rows a view labels in a round, and how sure it must be.
 EXCHANGED = 800
 SURE = 0.95
-RIDGE = 1.0
+RIDGE = 0.3
 #: Share of held-out good documents that the threshold may reject.
 LOST_GOOD = 0.01
 #: A document is never rejected at this score or above.
@@ -46,18 +47,22 @@ _MARK[33:127] = True
 _MARK &= ~np.array([chr(i).isalnum() if i < 128 else False for i in range(256)])
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[ord(c) for c in ".,;:'\"-?!()"]] = True
+#: Distances at which a repeated word comes again.
+LAGS = range(2, 25)
 #: Concentration of ordinary long text; what is above it and above a short text's own is repetition.
 USUAL = 0.006
-TEXT_WIDTH = (1 << GRAM_BITS) + 3
+TEXT_WIDTH = (1 << GRAM_BITS) + 4
 META_WIDTH = 2 * KEY_BUCKETS + 10
 
 
 def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Text and metadata features of rows ``(text, lang, source, n_chars)``."""
     n, width = batch.num_rows, 1 << GRAM_BITS
-    grams, shape = np.zeros((n, width), np.float32), np.zeros((n, 7))
+    grams, shape, again = np.zeros((n, width), np.float32), np.zeros((n, 7)), np.zeros(n)
     for data, starts, rows in byte_rows(batch.column("text")):
-        codes = gram_codes(data, GRAM_BITS).astype(np.int64)
+        full = gram_codes(data, 32, starts)
+        again[rows] += echoes(full, starts, LAGS)
+        codes = (full >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
         codes += np.repeat(np.arange(len(rows)) * width, np.diff(starts))
         grams[rows] += np.bincount(codes, minlength=len(rows) * width).reshape(len(rows), width)
         shape[rows, 0] += np.diff(starts)
@@ -68,7 +73,7 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     share = grams / size[:, None].astype(np.float32)
     alike = (share**2).sum(axis=1)
     excess = np.log((alike + 1e-6) / (1 / size + USUAL))
-    text = np.concatenate((np.sqrt(share), np.stack((np.log(alike + 1e-4), excess, (share > 0).mean(axis=1)), axis=1)), axis=1)
+    text = np.concatenate((np.sqrt(share), np.stack((np.log(alike + 1e-4), excess, (share > 0).mean(axis=1), np.sqrt(again / size)), axis=1)), axis=1)
     meta = np.zeros((n, META_WIDTH), np.float32)
     for block, name in enumerate(("lang", "source")):
         for i, v in enumerate(batch.column(name).to_pylist()):
@@ -93,7 +98,7 @@ class Linear:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 5) -> Linear:
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 8) -> Linear:
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-6] = 1
         x = np.concatenate(((x - mean) / scale, np.ones((len(x), 1), np.float32)), axis=1).astype(np.float32)

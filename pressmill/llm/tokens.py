@@ -15,7 +15,7 @@ from pressmill.llm.common import materialize, offsets, table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Lengths in one block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 
 def vocabulary_path(name: str) -> str:

@@ -74,5 +74,17 @@ def test_bytes_come_once_each(monkeypatch):
             for k, r in enumerate(rows):
                 got[r] += data[starts[k] : starts[k + 1]].tobytes()
         assert got == [t or b"" for t in part]
-    a, b = (textbytes.gram_codes(np.frombuffer(t, np.uint8), 16) for t in (b"HaUs", b"haus"))
+    a, b = (textbytes.gram_codes(np.frombuffer(t, np.uint8), 16, np.array([0, 4])) for t in (b"HaUs", b"haus"))
     assert a.tolist() == b.tolist()
+
+
+def test_neighbours_do_not_matter():
+    texts = [b"ab", b"haus maus haus maus", b"x", b"haus"]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    codes = textbytes.gram_codes(data, 32, starts)
+    again = textbytes.echoes(codes, starts, range(2, 25))
+    for k, t in enumerate(texts):
+        own = textbytes.gram_codes(np.frombuffer(t, np.uint8), 32, np.array([0, len(t)]))
+        assert own.tolist() == codes[starts[k] : starts[k + 1]].tolist()
+        slow = sum(own[i] == own[i - lag] for lag in range(2, 25) for i in range(lag, len(own)))
+        assert again[k] == slow
