@@ -26,6 +26,8 @@ from pressmill.llm.common import materialize, table
 FIT_ROWS = 2000
 #: A declared language needs so many rows to get a model.
 MIN_ROWS = 20
+#: Languages that get a model, the most declared ones.
+MAX_LANGUAGES = 256
 GRAM_BITS = 16
 #: Text counts as at most so many independent bytes.
 EVIDENCE_BYTES = 400
@@ -71,7 +73,7 @@ def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
     drawn by a hash of the id. What is collected is bounded by the languages and ``GRAM_BITS``.
     """
     counts = rows.where(F.col("declared").isNotNull()).groupBy("declared").count().where(F.col("count") >= MIN_ROWS)
-    sizes = {r["declared"]: r["count"] for r in counts.orderBy(F.desc("count"), "declared").limit(256).collect()}
+    sizes = {r["declared"]: r["count"] for r in counts.orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 1 << GRAM_BITS), np.float32)
