@@ -63,3 +63,23 @@ def test_beyond_the_broadcast_bound(spark, sf_dir, monkeypatch):
     few = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
     monkeypatch.setattr(pipeline, "BROADCAST_IDS", 0)
     assert {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()} == few
+
+
+def test_near_copies_go(spark, sf_dir):
+    rng = random.Random(21)
+    rows, expected = [], set()
+    for k in range(30):
+        text = words(rng, 120, 5000)
+        again = list(text)
+        again[10 + k] = "altered"  # 111 of 121 five-word shingles: about 0.92, several bits apart
+        other = [w if j % 5 else f"other{j}" for j, w in enumerate(text)]  # no shingle in common
+        rows += [(100 * k + 1, " ".join(text)), (100 * k + 2, " ".join(again)), (100 * k + 3, " ".join(other))]
+        expected |= {100 * k + 1, 100 * k + 3}
+    # a chain: the last is like the one that goes, not like the first, and stays
+    chain = words(rng, 200, 5000)
+    second = ["x" if j in (20, 60, 100) else w for j, w in enumerate(chain)]
+    third = ["y" if j in (40, 80, 120) else w for j, w in enumerate(second)]
+    rows += [(9001, " ".join(chain)), (9002, " ".join(second)), (9003, " ".join(third)), (9004, "?!"), (9005, " ?!\n"), (9006, "!?")]
+    docs = documents(spark, rows)
+    kept = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert kept == expected | {9001, 9003, 9004, 9006}
