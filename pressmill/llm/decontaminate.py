@@ -87,6 +87,32 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return at.join(need, "item")
 
 
+def _whole_items(words: DataFrame, items: DataFrame) -> DataFrame:
+    """``(id, item, windows, at)`` of ``items(item, words)`` found whole in ``words(id, words)``.
+
+    For items without a usable window. All template words must be equal; the slots must be
+    consistent, or hold the item's own values where fewer than ``MIN_LITERALS`` words are literal.
+    """
+    lengths = [r[0] for r in items.select(F.size("words")).distinct().collect()]
+    literals = F.size(F.filter("words", lambda w: w >= "\u0004"))
+    items = items.select(
+        "item", F.col("words").alias("item_words"), F.transform("words", _template).alias("shape"), (literals < MIN_LITERALS).alias("exact")
+    )
+
+    def windows(size: int) -> Column:
+        made = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.slice("words", i + 1, size).alias("copy")))
+        return F.filter(made, lambda c: F.size(c["copy"]) == size)
+
+    at = words.select("id", F.explode(F.concat(*map(windows, lengths))).alias("c")).select("id", "c.*")
+    found = at.withColumn("shape", F.transform("copy", _template)).join(items, "shape")
+    filled = F.array_distinct(
+        F.filter(F.arrays_zip(F.col("item_words").alias("asked"), F.col("copy").alias("found")), lambda p: p["asked"] < "\u0004")
+    )
+    consistent = F.size(F.array_distinct(F.transform(filled, lambda p: p["asked"]))) == F.size(filled)
+    same = F.when(F.col("exact"), F.col("copy") == F.col("item_words")).otherwise(consistent)
+    return found.where(same).groupBy("id", "item").agg(F.lit(1).cast("long").alias("windows"), F.min("at").alias("at"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
@@ -119,7 +145,18 @@ def contaminated(
     asked = F.transform("filled", lambda p: p["asked"])
     good = diagonals.where((F.size(F.array_distinct(asked)) == F.size("filled")) & (F.col("windows") >= F.col("need")))
     best = good.groupBy("id", "item").agg(F.min(F.struct(-F.col("windows"), F.col("diagonal"))).alias("b"))
-    return best.select("id", "item", (-F.col("b.col1")).alias("windows"), F.col("b.diagonal").alias("at"))
+    best = best.select("id", "item", (-F.col("b.col1")).alias("windows"), F.col("b.diagonal").alias("at"))
+    asked = benchmark.select(
+        F.col(item_col).cast("long").alias("item"), template_words(text_or_empty(F.col("text"))).alias("words")
+    )
+    short = asked.where(F.size("words") > 0).join(items.select("item").distinct(), "item", "left_anti").distinct()
+    n = short.count()
+    if not n:
+        return best
+    if n <= BROADCAST_WINDOWS:
+        short = F.broadcast(short)
+    whole = best.union(_whole_items(words, short)).groupBy("id", "item")
+    return whole.agg(F.max("windows").alias("windows"), F.min("at").alias("at"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

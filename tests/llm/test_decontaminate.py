@@ -60,3 +60,15 @@ def test_shuffled_join_and_empty_tables(spark, monkeypatch):
     assert found(spark, [], [(1, ITEM, 0)]) == [] and found(spark, [(1, ITEM)], []) == []
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert found(spark, [(1, ITEM), (None, None)], [(1, ITEM, 0)]) == [(1, 1)]
+
+
+def test_items_without_a_window_are_found_whole(spark):
+    items = [(1, "What is the capital of France?", 0), (2, "12 + 7 - 3 * 4 / 2 + 81 - 6", 0), (3, "Berlin Hamburg Bremen", 0)]
+    docs = [
+        (1, "We asked: what is the capital of France? Nobody knew."),
+        (2, "what is the capital of it"),
+        (3, "so 12 + 7 - 3 * 4 / 2 + 81 - 6 it is"),
+        (4, "so 13 + 7 - 3 * 4 / 2 + 81 - 6 it is"),  # numbers alone must be the item's
+        (5, "in Berlin Hamburg Kiel"),
+    ]
+    assert found(spark, docs, items) == [(1, 1), (3, 2)]
