@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Subfolder of what is materialized, for a caller that deletes it.
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized within is deleted at the end; results must be written before."""
+    token = _SCRATCH.set(f"scratch-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_dir(spark)}/pressmill/{_SCRATCH.get()}")
+        _SCRATCH.reset(token)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
     Cuts the lineage like a reliable checkpoint, but columnar and compressed; the files
     outlive any executor.
     """
-    path = f"{shared_dir(df.sparkSession)}/pressmill/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/pressmill/{_SCRATCH.get()}{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._pressmill_path = path
@@ -32,9 +55,7 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a materialized table that no later plan reads."""
     path = getattr(df, "_pressmill_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def offsets(cells: DataFrame, order: list[str], size: str, name: str, within: list[str] | None = None) -> DataFrame:

@@ -196,10 +196,10 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return materialize(out, "languages")
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents name their language and, as host, their source; they have no address."""
     none = F.lit(None).cast("string")
-    return evidence(docs, "doc_id", F.col("text"), F.col("lang"), none, F.col("source"))
+    return evidence(docs, id_col, F.col("text"), F.col("lang"), none, F.col("source"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

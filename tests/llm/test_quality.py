@@ -18,7 +18,8 @@ def corpus():
         if not good:
             kind = rng.randrange(3)
             w = [w[0]] * len(w) if kind == 0 else [x + rng.choice(["$$$", "%%%"]) for x in w] if kind == 1 else [x.upper() + "!!" for x in w]
-        rows.append((k, " ".join(w), "en", f"src{k % 7}"))
+        source = rng.choice(["src0", "src1", "src2", "src3"] if good else ["src3", "src4", "src5", "src6"])  # the metadata view knows only these
+        rows.append((k, " ".join(w), "en", source))
         labels.append((k, int(good), 0, 0.5))
     return rows, labels
 
@@ -39,7 +40,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
 
 def test_views_teach_each_other(spark):
     rows, labels = corpus()
-    model = quality.train(documents(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 4 == 0], LABELS))
+    model = quality.train(quality.feature_rows(documents(spark, rows)), spark.createDataFrame([x for x in labels if x[0] % 4 == 0], LABELS))
     assert sum(a for a, _ in model.exchanged) and sum(b for _, b in model.exchanged)
     assert model.held_out["both"] >= max(model.held_out["text"], model.held_out["metadata"]) - 0.02
 
