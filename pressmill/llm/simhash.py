@@ -1,18 +1,19 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most ``d = 2`` bits differ in at most two of
-their eight bytes, so they share at least six positional bytes. Single positional bytes have
-only 256 values each, and their posting lists would pair every document with one in 256; the
-index therefore keys a posting by the bytes at four positions at once. The eight positions
-form four blocks of two; two differing bytes leave two whole blocks equal, so the six pairs
-of blocks are posted and no link is lost. Candidates of a posting get the tally of all eight
-positional bytes, those with six or more equal bytes are kept, and the bit distance verifies.
-
-Copies collapse before the index (one posting per distinct fingerprint). A posting longer
-than ``POSTING_PAIRS`` is not paired up: its members post the 65 words within one bit of
-their fingerprint. Two fingerprints share such a word exactly if they differ in two bits or
-fewer, at most 65 fingerprints can share one, and all of them are linked to the least one, so
-the components are the same and neither rows nor groups grow with the square of a group.
+their eight bytes, so they share at least six positional bytes. Posting lists of single positional
+bytes have only 256 values each and would meet every document with one in 256, so the index has two
+levels: the positions form four blocks of two, and two differing bytes leave two whole blocks equal.
+Within the fingerprints that agree in two blocks (four bytes, six such pairs of blocks) the other four
+positional bytes are posted one by one. The index counts for each pair how many of these lists it meets
+in: four bytes and two lists or more make the guaranteed six, pairs with fewer go, and the bit
+distance verifies the rest.
+
+Copies collapse before the index (one posting per distinct fingerprint). A posting list longer
+than ``POSTING_PAIRS`` is not paired up, as its pairs would grow with its square: its members post
+the 65 words within one bit of their fingerprint. Two fingerprints share such a word exactly if they differ
+in two bits or fewer, at most 65 fingerprints can share one, and all of them are linked to the least
+one, so the components are the same and neither rows nor groups grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ SEED = 42
 MAX_BITS = 2
 POSTING_PAIRS = 64
 BYTES = 8
-#: Masks of two blocks of two bytes: the keys of the index.
+#: Pairs of blocks of two bytes, and with each the other four bytes one at a time: the keys of the index.
 MASKS = [sum(0xFFFF << (16 * b) for b in pair) for pair in itertools.combinations(range(4), 2)]
+LISTS = [m | 0xFF << (8 * p) for m in MASKS for p in range(BYTES) if not m >> (8 * p) & 0xFF]
+LISTS_A_MASK = len(LISTS) // len(MASKS)
 
 
 def _signed(x: int) -> int:
@@ -78,38 +81,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long")
 
 
-def _tally(a: Column, b: Column) -> Column:
-    """Positional bytes that two fingerprints share."""
-    same = F.lit(0)
-    for p in range(BYTES):
-        mask = F.lit(_signed(0xFF << (8 * p)))
-        same = same + F.when(a.bitwiseXOR(b).bitwiseAND(mask) == 0, 1).otherwise(0)
-    return same
-
-
-def _linked(a: Column, b: Column) -> Column:
-    return (_tally(a, b) >= BYTES - MAX_BITS) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+def _near(u: Column, v: Column) -> Column:
+    return F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS
 
 
 def links(distinct: DataFrame) -> DataFrame:
     """``distinct(fp)`` without repeats -> edges ``(u, v)`` with the components of all links."""
     fp = F.col("fp")
-    postings = distinct.select(
-        "fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in MASKS])).alias("mask", "key")
-    )
-    sizes = postings.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(postings.join(sizes, ["mask", "key"]).select("mask", "key", "fp", "n"), "postings")
+    postings = distinct.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(F.lit(_signed(m))) for m in LISTS])).alias("list", "key"))
+    sizes = postings.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(postings.join(sizes, ["list", "key"]).select("list", "key", "fp", "n"), "postings")
 
-    short = shared.where(F.col("n") <= POSTING_PAIRS).groupBy("mask", "key").agg(F.collect_list("fp").alias("all"))
-    short = short.select(F.explode("all").alias("u"), "all")
-    u = F.col("u")
-    pairs = short.select("u", F.explode(F.filter("all", lambda v: (v > u) & _linked(u, v))).alias("v"))
+    short = shared.where(F.col("n") <= POSTING_PAIRS).groupBy("list", "key").agg(F.collect_list("fp").alias("all"))
+    short = short.select(F.floor(F.col("list") / LISTS_A_MASK).alias("mask"), F.explode("all").alias("u"), "all")
+    met = short.select("mask", "u", F.explode(F.filter("all", lambda v: v > F.col("u"))).alias("v"))
+    # bytes of the mask, and one more for each list that the pair meets in
+    tally = met.groupBy("mask", "u", "v").agg((F.lit(BYTES - LISTS_A_MASK) + F.count("*")).alias("bytes"))
+    pairs = tally.where(F.col("bytes") >= BYTES - MAX_BITS).where(_near(F.col("u"), F.col("v"))).select("u", "v")
 
     long = shared.where(F.col("n") > POSTING_PAIRS).select("fp").distinct()
-    near = F.array(fp, *[fp.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
-    balls = long.select("fp", F.explode(near).alias("word")).groupBy("word")
+    words = F.array(fp, *[fp.bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
+    balls = long.select("fp", F.explode(words).alias("word")).groupBy("word")
     stars = balls.agg(F.min("fp").alias("u"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    stars = stars.select("u", F.explode(F.filter("all", lambda v: (v > u) & _linked(u, v))).alias("v"))
+    stars = stars.select("u", F.explode(F.filter("all", lambda v: (v > F.col("u")) & _near(F.col("u"), v))).alias("v"))
     return pairs.union(stars).distinct()
 
 
