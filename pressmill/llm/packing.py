@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pressmill.llm.common import materialize, offsets, table
 from pressmill.llm.tokens import token_lengths
@@ -31,8 +30,6 @@ CAPACITIES = (1024, 2048, 4096, 8192)
 #: A sequence of c tokens costs c, c * c / ATTENTION for attention, and BIN_COST for itself.
 BIN_COST = 64
 ATTENTION = 65536
-#: Pieces of one length that are numbered in one window partition, on average.
-CELL_ROWS = 20_000
 
 
 @dataclass
@@ -118,6 +115,32 @@ def joint_plan(
     return min((best_fit(histogram, capacities, c, cost) for c in sorted(capacities)), key=lambda p: p.cost)
 
 
+def _pieces(largest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts rows ``(id, n)`` and numbers the pieces of each length within the task, so that no length is numbered in one place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        cell, so_far = TaskContext.get().partitionId(), np.zeros(largest + 1, np.int64)
+        for b in batches:
+            n = b.column("n").to_numpy()
+            parts = -(-n // largest)
+            row = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+            size = np.minimum(n[row] - piece * largest, largest)
+            order = np.argsort(size, kind="stable")
+            kinds, begin, count = np.unique(size[order], return_index=True, return_counts=True)
+            nth = np.empty(len(size), np.int64)
+            nth[order] = np.arange(len(size)) - np.repeat(begin, count) + np.repeat(so_far[kinds], count)
+            so_far[kinds] += count
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.full(len(row), cell, np.int32)), pa.array(nth)],
+                ["id", "piece", "len", "cell", "nth"],
+            )
+
+    return run
+
+
 def pack(
     lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, id_col: str = "id", n_col: str = "n",
     cost: Callable[[int], float] = sequence_cost,
@@ -126,30 +149,24 @@ def pack(
 
     A document longer than the largest capacity is cut into full pieces and a rest; nothing is
     dropped. A null length counts as zero, a document of length zero is packed as one
-    piece of one (padding) token. Documents of one length are ranked by id; repeated rows are
-    packed once each; null ids come first. An empty table gives an empty result.
+    piece of one (padding) token. Pieces of one length are ranked as their tasks write them; repeated rows are
+    packed once each; a null id is one like any other. Other columns are ignored. An empty table gives an empty result.
     """
     largest = max(capacities)
     rows = lengths.select(
         F.col(id_col).cast("long").alias("id"), F.greatest(F.coalesce(F.col(n_col).cast("long"), F.lit(0)), F.lit(1)).alias("n")
     )
-    cut = F.sequence(F.lit(0), F.ceil(F.col("n") / largest).cast("int") - 1)
-    rows = rows.select("id", "n", F.explode(cut).alias("piece"))
-    rows = rows.select("id", "piece", F.least(F.col("n") - F.col("piece") * largest, F.lit(largest)).cast("int").alias("len"))
-    rows = materialize(rows, "pieces")
-
-    # a row for each length: at most `largest`
-    sizes = rows.groupBy("len").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CELL_ROWS).alias("cells"))
-    sizes = materialize(sizes, "lengths")
+    rows = materialize(rows.mapInArrow(_pieces(largest), "id long, piece int, len int, cell int, nth long"), "pieces")
+
+    # a row for each length and task that wrote some; then one for each length: at most `largest`
+    cells = materialize(rows.groupBy("len", "cell").agg(F.count("*").alias("c")), "cells")
+    sizes = cells.groupBy("len").agg(F.sum("c").alias("n"))
     plan = joint_plan({r["len"]: r["n"] for r in sizes.collect()}, capacities, cost)
 
-    # ranks of the pieces of a length; a hot length is shared out in cells dealt by id
-    rows = rows.join(F.broadcast(sizes.select("len", "cells")), "len")
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id", "piece"), F.col("cells")).cast("int"))
-    first = offsets(rows.groupBy("len", "cell").agg(F.count("*").alias("c")), ["cell"], "c", "first", ["len"])
-    inner = F.row_number().over(Window.partitionBy("len", "cell").orderBy("id", "piece")) - 1
-    rows = rows.withColumn("inner", inner).join(first.select("len", "cell", "first"), ["len", "cell"])
-    rows = rows.select("id", "piece", "len", (F.col("first") + F.col("inner")).alias("rank"))
+    # ranks of the pieces of a length: those of the tasks before, and the place in the own one
+    first = offsets(cells, ["cell"], "c", "first", ["len"])
+    rows = rows.join(first.select("len", "cell", "first"), ["len", "cell"])
+    rows = rows.select("id", "piece", "len", (F.col("first") + F.col("nth")).alias("rank"))
 
     # the plan is bounded by the lengths that occur, not by the documents
     spans = np.array(sorted(plan.spans), np.int64).reshape(-1, 6)

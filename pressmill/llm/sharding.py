@@ -1,7 +1,7 @@
 """Minimax contiguous sharding of ordered atomic groups, in DataFrame operations only.
 
 Rows with equal text form one atomic group. Groups are ordered by the 64-bit hash of the
-text (two texts of one hash, if ever, form one group), and their running sum of sizes gives
+text, and by length and CRC should two texts share one; their running sum of sizes gives
 each group an *end*. A shard is a run of groups, so a sharding is a list of ends to cut at.
 
 The smallest feasible capacity is found by binary search, each candidate checked greedily: from
@@ -28,30 +28,32 @@ ROW_OVERHEAD = 16
 BUCKET_BITS = 14
 #: Rows that one refinement collects at most, up to one more for each gap.
 MAX_SUMMARY = 40_000
-#: Rows numbered in one window partition, on average.
-CELL_ROWS = 100_000
+#: Bits of a row's number that count within the task that wrote it.
+TASK_BITS = 33
 
 
 def sized_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, size, crc, grp)``: what sharding needs of a row, without its text."""
+    """``(id, size, crc, grp, tie, row)``: what sharding needs of a row, without its text; ``grp`` and ``tie`` name its group."""
     text = F.col(text_col).cast("string")
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(text_or_empty(F.col(text_col))).alias("crc"),
         F.xxhash64(text).alias("grp"),
+        F.coalesce(F.shiftleft(F.octet_length(text).cast("long"), 32) + F.crc32(text), F.lit(-1)).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def group_ends(rows: DataFrame) -> DataFrame:
-    """``(grp, bucket, end)``: the running sum of sizes over the groups in order of ``grp``."""
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
+    """``(grp, tie, bucket, end)``: the running sum of sizes over the groups in order of ``grp`` and ``tie``."""
+    groups = rows.groupBy("grp", "tie").agg(F.sum("size").alias("size"))
     groups = groups.withColumn("bucket", F.shiftright("grp", 64 - BUCKET_BITS).cast("int"))
     before = offsets(groups.groupBy("bucket").agg(F.sum("size").alias("s")), ["bucket"], "s", "before")
     # before has at most 2**BUCKET_BITS rows
     groups = groups.join(F.broadcast(before.select("bucket", "before")), "bucket")
-    run = Window.partitionBy("bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)
-    return groups.select("grp", "bucket", (F.col("before") + F.sum("size").over(run)).alias("end"))
+    run = Window.partitionBy("bucket").orderBy("grp", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    return groups.select("grp", "tie", "bucket", (F.col("before") + F.sum("size").over(run)).alias("end"))
 
 
 class Ends:
@@ -136,8 +138,8 @@ def _search(ends: Ends, total: int, shards: int) -> tuple[int, list[int]]:
     return low, cuts
 
 
-def minimax_cuts(ends: DataFrame, shards: int) -> tuple[int, list[int]]:
-    """The least largest-shard size and the hash after which each shard but the last ends."""
+def minimax_cuts(ends: DataFrame, shards: int) -> tuple[int, list[tuple[int, int]]]:
+    """The least largest-shard size and the group (``grp``, ``tie``) after which each shard but the last ends."""
     spans = ends.groupBy("bucket").agg(F.min("end"), F.max("end"), F.count("*")).collect()
     if not spans:
         return 0, []
@@ -148,17 +150,17 @@ def minimax_cuts(ends: DataFrame, shards: int) -> tuple[int, list[int]]:
         if not known.touched:
             break
         known.refine(ends)
-    at = {r["end"]: r["grp"] for r in ends.where(F.col("end").isin(sorted({*cuts} - {0}))).collect()}
-    floor = -(1 << 63)  # a shard that stays empty ends before every hash
+    at = {r["end"]: (r["grp"], r["tie"]) for r in ends.where(F.col("end").isin(sorted({*cuts} - {0}))).collect()}
+    floor = (-(1 << 63), -(1 << 63))  # a shard that stays empty ends before every hash
     return capacity, [at.get(c, floor) for c in cuts[:-1]]
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, size, crc, grp, shard, slot, capacity)``, one row per row of ``docs``.
+    """``(id, size, crc, grp, tie, shard, slot, capacity)``, one row per row of ``docs``.
 
     Shards are contiguous runs of the groups of equal texts, their largest size is the least
     possible, and within that they are as even as cuts from the left allow. Slots count from
-    0 in each shard without gaps. A null text has size 16, the CRC of the empty text and a
+    0 in each shard without gaps, in the order that the rows were read in. A null text has size 16, the CRC of the empty text and a
     group of its own kind; a null id keeps its place by the other columns. Repeated rows
     share a shard and get slots of their own. Extra columns are ignored; an empty table gives
     an empty result; a group larger than the mean makes a larger shard, as it is atomic.
@@ -166,16 +168,16 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", te
     rows = materialize(sized_rows(docs, id_col, text_col), "sized")
     ends = materialize(group_ends(rows), "ends")
     capacity, cuts = minimax_cuts(ends, shards)
-    marks = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("shard", F.size(F.filter(marks, lambda c: c < F.col("grp"))).cast("int"))
-    # numbering in cells of about CELL_ROWS rows, dealt by id: a hot text does not fill one
-    cells = max(1, -(-rows.count() // (shards * CELL_ROWS)))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(cells)).cast("int"))
+    pair = lambda grp, tie: F.struct(grp.cast("long").alias("grp"), tie.cast("long").alias("tie"))
+    marks = F.array(*[pair(F.lit(g), F.lit(t)) for g, t in cuts]) if cuts else F.array().cast("array<struct<grp: bigint, tie: bigint>>")
+    rows = rows.withColumn("shard", F.size(F.filter(marks, lambda c: c < pair(F.col("grp"), F.col("tie")))).cast("int"))
+    # numbered by the written row: a cell is what one task wrote, so neither a hot text nor a hot id fills one
+    rows = rows.withColumn("cell", F.shiftright("row", TASK_BITS).cast("int"))
     first = offsets(rows.groupBy("shard", "cell").agg(F.count("*").alias("n")), ["cell"], "n", "first", ["shard"])
-    inner = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "grp", "size", "crc"))
+    inner = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("row"))
     rows = rows.withColumn("inner", inner).join(first.select("shard", "cell", "first"), ["shard", "cell"])
     slot = (F.col("first") + F.col("inner") - 1).alias("slot")
-    return rows.select("id", "size", "crc", "grp", "shard", slot, F.lit(capacity).cast("long").alias("capacity"))
+    return rows.select("id", "size", "crc", "grp", "tie", "shard", slot, F.lit(capacity).cast("long").alias("capacity"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,9 @@ def encoding(path: str):
 def token_lengths(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE
 ) -> DataFrame:
-    """``(id, n)``: tokens of each whole text; null and empty texts have none.
+    """``(id, n)``: tokens of each whole text; null and empty texts have none. One row for each row, whatever its id.
 
+    Other columns are ignored; an empty table gives no rows.
     ``vocabulary`` names a rank file of the installed tokenizer package, or is a path that
     every executor can open.
     """
@@ -61,7 +62,7 @@ def length_histogram(lengths: DataFrame, n_col: str = "n") -> DataFrame:
     ``docs`` have the length; ``docs_upto`` and ``docs_over`` are at most and longer than it,
     ``tokens_upto`` is the sum of the former's lengths; ``truncated_tokens`` is what a limit of
     this length leaves of the corpus, ``lost_tokens`` what it cuts; ``quantile`` is the share of
-    documents that fit. Null lengths are left out; an empty table gives no rows.
+    documents that fit. Null lengths are left out, other columns ignored; an empty table gives no rows.
 
     The histogram is aggregated before anything is ordered. Sums over lengths are taken in
     blocks of ``BLOCK`` lengths, then over the blocks: a summary of the longest length over
@@ -98,8 +99,12 @@ def length_histogram(lengths: DataFrame, n_col: str = "n") -> DataFrame:
 
 
 def tokens_at_limit(histogram: DataFrame, limit: int) -> int:
-    """Tokens that truncation at ``limit`` leaves, for any limit, from the histogram."""
-    return histogram.agg(F.sum(F.least(F.col("n_tokens"), F.lit(limit)) * F.col("docs"))).first()[0] or 0
+    """Tokens that truncation at ``limit`` leaves, for any limit, from the sums of the greatest length within it."""
+    below = F.max(F.when(F.col("n_tokens") <= limit, F.struct("n_tokens", "tokens_upto", "docs_over"))).alias("below")
+    r = histogram.agg(below, F.max(F.col("docs_upto")).alias("all")).first()
+    if r["all"] is None:
+        return 0
+    return r["below"]["tokens_upto"] + limit * r["below"]["docs_over"] if r["below"] else limit * r["all"]
 
 
 def length_quantile(histogram: DataFrame, share: float) -> int | None:

@@ -57,11 +57,11 @@ def check(spark, rows, capacities):
         assert at <= capacity and packing.least_cost(capacities, at) == capacity
 
 
-def test_pieces_fill_their_bins(spark, monkeypatch):
-    monkeypatch.setattr(packing, "CELL_ROWS", 7)
+def test_pieces_fill_their_bins(spark):
     rng = random.Random(10)
     rows = [(k, rng.choice([None, 0, 1, 3, 3, 3, 20, 64, 65, 500, rng.randrange(1, 130)]), 5) for k in range(400)]
     check(spark, [*rows, rows[5], (None, 9, 5)], (8, 32, 64))
+    check(spark, [(None if k % 3 else 7, 5, 0) for k in range(90)] + [(1, 1_000_000, 0)], (8, 32, 64))  # hot length, hot and null ids
 
 
 def test_empty_table(spark):

@@ -27,8 +27,8 @@ def check(spark, rows, shards):
     assert len(got) == len(rows)
     groups, where, slots = defaultdict(int), defaultdict(set), defaultdict(list)
     for r in got:
-        groups[r["grp"]] += r["size"]
-        where[r["grp"]].add(r["shard"])
+        groups[r["grp"], r["tie"]] += r["size"]
+        where[r["grp"], r["tie"]].add(r["shard"])
         slots[r["shard"]].append(r["slot"])
     assert all(len(s) == 1 for s in where.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
@@ -47,7 +47,6 @@ def check(spark, rows, shards):
 def test_against_brute_force(spark, monkeypatch, bits, summary):
     monkeypatch.setattr(sharding, "BUCKET_BITS", bits)
     monkeypatch.setattr(sharding, "MAX_SUMMARY", summary)
-    monkeypatch.setattr(sharding, "CELL_ROWS", 5)
     rng = random.Random(3)
     rows = [(k, " ".join(words(rng, rng.randrange(1, 60)))) for k in range(300)]
     check(spark, rows, 12)

@@ -22,9 +22,16 @@ def test_histogram_against_brute_force(spark, monkeypatch):
         assert r["tokens_upto"] == sum(x for x in n if x <= limit)
         assert r["truncated_tokens"] == sum(min(x, limit) for x in n) == sum(n) - r["lost_tokens"]
         assert r["quantile"] == r["docs_upto"] / len(n)
-    assert tokens.tokens_at_limit(hist, 33) == sum(min(x, 33) for x in n)
+    for limit in (0, 1, 33, 500, 10**9):
+        assert tokens.tokens_at_limit(hist, limit) == sum(min(x, limit) for x in n)
     assert tokens.length_quantile(hist, 0.5) == sorted(n)[-(-len(n) // 2) - 1]
 
 
+def test_null_and_repeated_ids(spark):
+    got = tokens.token_lengths(documents(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, None)])).collect()
+    assert sorted((r["id"] or 0, r["n"]) for r in got) == [(0, 0), (0, 2), (1, 2), (1, 2)]
+
+
 def test_empty_table(spark):
+    assert tokens.tokens_at_limit(tokens.length_histogram(tokens.token_lengths(documents(spark, []))), 10) == 0
     assert tokens.length_histogram(tokens.token_lengths(documents(spark, []))).collect() == []
