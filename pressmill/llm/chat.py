@@ -9,7 +9,8 @@ the conversation's id, so a hot first turn or conversation is shared out over sh
 
 A node's tokens continue its parent's: their position ids run on from ``position``, and they
 attend to themselves and to the intervals ``attends`` of the shard's token stream, the nodes
-above them. Only ``loss_from`` to ``loss_to`` (an assistant's text) bears loss.
+above them; nodes that follow each other in the stream are one interval, so a conversation that shares
+nothing has one however long it is. Only ``loss_from`` to ``loss_to`` (an assistant's text) bears loss.
 
 The template is ``<|im_start|>role`` line end, text, ``<|im_end|>`` line end, with the two marks as
 token ids of their own. In texts and roles every ``<``, any backslashes, ``|`` gets one backslash
@@ -89,6 +90,14 @@ class Node:
     start: int
     tokens: int
     position: int
+    attends: tuple[tuple[int, int], ...]
+
+    def below(self) -> tuple[tuple[int, int], ...]:
+        """What a child attends to."""
+        end = self.start + self.tokens
+        if self.attends and self.attends[-1][1] == self.start:
+            return (*self.attends[:-1], (self.attends[-1][0], end))
+        return (*self.attends, (self.start, end))
 
 
 def conversations(rows: DataFrame) -> DataFrame:
@@ -124,10 +133,10 @@ def write_tree(rows: DataFrame, shards: int | None = None, vocabulary: str | Non
                 for depth in range(shared, len(turns)):
                     tokens, lo, hi = format_turn(*turns[depth], vocabulary)
                     position = stack[-1].position + stack[-1].tokens if stack else 0
-                    attends = [{"start": n.start, "end": n.start + n.tokens} for n in stack]
-                    stack.append(Node(turns[depth], end, len(tokens), position))
+                    attends = stack[-1].below() if stack else ()
+                    stack.append(Node(turns[depth], end, len(tokens), position, attends))
                     role, loss = turns[depth][0], turns[depth][0] == ASSISTANT
-                    out.append((shard, seq, "node", depth, None, role, tokens, end, position, attends, lo if loss else None, hi if loss else None))
+                    out.append((shard, seq, "node", depth, None, role, tokens, end, position, [{"start": a, "end": b} for a, b in attends], lo if loss else None, hi if loss else None))
                     seq, end = seq + 1, end + len(tokens)
                 out.append((shard, seq, "conv", len(turns), ids[i].as_py(), None, None, end, None, None, None, None))
                 seq += 1

@@ -25,7 +25,7 @@ def sha(text):
 def expected(rows):
     convs = {}
     for c, turn, role, text in rows:
-        convs.setdefault(c, []).append((turn, role or "", text or ""))
+        convs.setdefault(c, []).append((-1 if turn is None else turn, role or "", text or ""))  # null turns come first
     out = []
     for c, turns in convs.items():
         turns = sorted(turns)
@@ -37,12 +37,13 @@ def expected(rows):
 
 def sample():
     rng = random.Random(13)
-    openings = [" ".join(words(rng, 8)) for _ in range(4)] + ODD + odd_texts(rng)[:6]
+    openings = [" ".join(words(rng, 8)) for _ in range(4)] + ODD + odd_texts(rng)
     rows = []
     for c in range(120):
         rows.append((c, 0, "system", openings[0] if c % 3 == 0 else rng.choice(openings)))
         for t in range(1, rng.randrange(2, 6)):
             rows.append((c, t, rng.choice(["user", "assistant", "assistant", "odd\nrole <|x", None]), rng.choice(openings)))
+    rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "so what"), (700, None, "user", "no turn"), (700, 1, "assistant", "first")]
     return [*rows, *[(900 + c, t, r, x) for c in range(40) for _, t, r, x in [x for x in rows if x[0] == 3]], rows[0]]
 
 
@@ -63,7 +64,9 @@ def test_round_trip_and_tree(spark):
             if r["kind"] != "node":
                 continue
             assert r["start"] == end and r["position"] == sum(len(p["tokens"]) for p in path)
-            assert [tuple(a) for a in r["attends"]] == [(p["start"], p["start"] + len(p["tokens"])) for p in path]
+            spans = [tuple(a) for a in r["attends"]]
+            assert [x for a, b in spans for x in range(a, b)] == [x for p in path for x in range(p["start"], p["start"] + len(p["tokens"]))]
+            assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))  # neighbours are one interval
             assert (r["loss_from"] is not None) == (r["role"] == "assistant")
             path.append(r)
             key = tuple(tuple(p["tokens"]) for p in path)
@@ -73,6 +76,12 @@ def test_round_trip_and_tree(spark):
     assert len(shards) == 3 and nodes < len(rows)
 
 
+def test_a_long_conversation_has_one_interval(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(400)]
+    tree = chat.write_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {len(r["attends"]) for r in tree.where("kind = 'node'").collect()} == {0, 1}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_tree(chat.write_tree(none)).collect() == []
