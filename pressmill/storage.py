@@ -9,13 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; one of our own only where the session names none (local mode)."""
+    """``spark.checkpoint.dir`` with its file system; a folder of our own where the session names none, in local mode alone.
+
+    A path without a scheme means the default file system to Spark and the local disk to other
+    readers, so it is qualified here once.
+    """
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pressmill-"))
         place = sc.getCheckpointDir()
-    return place.rstrip("/")
+    path = sc._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -27,8 +34,3 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether a frame has at most so many rows; looks at no more than one beyond them."""
-    return df.limit(rows + 1).count() <= rows
