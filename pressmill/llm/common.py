@@ -18,6 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that a writer holds before it writes them: small, as executors also run Python.
+ROW_GROUP = 16 << 20
 #: Subfolder of what is materialized, for a caller that deletes it.
 _SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
 
@@ -45,7 +47,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     outlive any executor.
     """
     path = f"{shared_dir(df.sparkSession)}/pressmill/{_SCRATCH.get()}{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._pressmill_path = path
     return out

@@ -248,6 +248,12 @@ def _draw(id_: Column, what: str, share: float) -> Column:
     return F.pmod(F.xxhash64(id_, F.lit(what)), F.lit(1 << 30)) < int(share * (1 << 30))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def feature_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``(id, doc, x)``: both views' features of every row, written; ``doc`` is what labels name."""
     rows = docs.select(
@@ -257,12 +263,10 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                piece = b.slice(at, 1000)
-                both = np.concatenate(features(piece), axis=1).astype("<f2")
-                x = pa.array([r.tobytes() for r in both], pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("doc"), x], ["id", "doc", "x"])
+        for b in _slices(batches):
+            both = np.concatenate(features(b), axis=1).astype("<f2")
+            x = pa.array([r.tobytes() for r in both], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), x], ["id", "doc", "x"])
 
     return materialize(rows.mapInArrow(run, "id long, doc long, x binary"), "features")
 
@@ -299,7 +303,7 @@ def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         sent = spark.sparkContext.broadcast(list(zip(models, scales, strict=True)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 p = [_sigmoid(slope * m.logit(x) + at) for (m, (slope, at)), x in zip(sent.value, _unpacked(b.column("x")), strict=True)]
                 for k in (0, 1):
                     for label, sure in ((1, p[k] >= SURE), (0, p[k] <= 1 - SURE)):
@@ -348,7 +352,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for b in batches:
+        for b in _slices(batches):
             scores = [np.round(s.astype(np.float64), 9) for s in model.score(*_unpacked(b.column("x")))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(pa.array(s) for s in scores), pa.array(scores[2] >= model.threshold)],
