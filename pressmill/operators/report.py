@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.functions.text import sigmoid, word_count
+from pressmill.functions.text import sigmoid, template_safe, word_count
 
 MAX_CHARS = 6000
 #: The layout of a corpus entry.
@@ -38,6 +38,12 @@ def corpus_lines(numbered: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     return numbered.select("n", corpus_entry(max_chars).alias("value")).orderBy("n")
 
 
+def facts(numbered: DataFrame) -> DataFrame:
+    """``(articles, outlets)`` of a numbered corpus, from its rows: a body that looks like a header is not counted."""
+    outlets = tally_line(numbered, "source", "n").select(F.col("listed").alias("outlets"))
+    return numbered.agg(F.count("*").alias("articles")).crossJoin(F.broadcast(outlets))
+
+
 def facts_of_text(corpora: DataFrame, column: str = "corpus") -> DataFrame:
     """``(articles, outlets)`` as the rendered text tells them, lines of bodies that look alike included."""
     text = F.col(column)
@@ -72,14 +78,31 @@ def csv_rows(articles: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def write_csv(articles: DataFrame, path: str, with_text: bool = False) -> None:
-    """Quoted throughout, with a header that begins with the byte order mark spreadsheets want."""
+    """One file for spreadsheets, quoted throughout; its first bytes are the byte order mark that they look for.
+
+    Lines are made in parallel; one task writes them in a stream.
+    """
     rows = csv_rows(articles, with_text)
-    rows = rows.withColumnRenamed("source", "﻿source")
-    rows.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in rows.columns]
+    head = "\ufeff" + ",".join(f'"{c}"' for c in rows.columns)
+    lines = rows.sparkSession.range(0, 1, 1, 1).select(F.lit(head).alias("value")).union(rows.select(F.concat_ws(",", *quoted).alias("value")))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def prompts(profiles: DataFrame, human: str) -> DataFrame:
+    """``(id, system, human)``: the messages of a report for each profile; braces of a brief are text, not slots.
+
+    A profile without a brief has none, and is left out.
+    """
+    brief = F.coalesce("system_prompt", F.lit(""))
+    return profiles.where(F.trim(brief) != "").select("id", template_safe(brief).alias("system"), F.lit(human).alias("human"))
 
 
 def prompt(brief: str | None, human: str) -> list[tuple[str, str]]:
-    """The report's messages; braces of the brief are text, not slots. A blank brief is an error."""
-    if not (brief or "").strip():
+    """One brief's messages; a blank brief is an error."""
+    from pyspark.sql import SparkSession
+
+    row = prompts(SparkSession.active().createDataFrame([("", brief)], "id string, system_prompt string"), human).first()
+    if row is None:
         raise ValueError("no brief for this profile")
-    return [("system", brief.replace("{", "{{").replace("}", "}}")), ("human", human)]
+    return [("system", row["system"]), ("human", row["human"])]

@@ -37,7 +37,7 @@ def candidates_matched(candidates: DataFrame, pages: DataFrame, keywords: Sequen
         few = marked.where(F.size("matched") == 0).orderBy("source_index", "position", "url").limit(deep_limit)
         read = few.join(html, "url").withColumn("x", extract_archive("html")).drop("html")
         read = read.withColumn("title", F.when(F.col("title") == "", F.col("x.title")).otherwise(F.col("title")))
-        text = F.concat_ws("\n", "title", "x.body")
+        text = F.concat_ws(" ", "title", "x.body")
         read = read.withColumn("matched", matched_keywords(text, keywords)).withColumn("where", match_location(F.col("title"), text, keywords))
         hits = hits.unionByName(read.where(F.size("matched") > 0).drop("x").withColumn("pass", F.lit(1)))
     hits = hits.where(~is_live_page(F.col("url"), F.col("title")))

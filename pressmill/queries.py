@@ -143,7 +143,7 @@ def default_language(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     own = docs.groupBy("source").agg(F.min("lang").alias("language"))
     blank = docs.withColumn("lang", F.when(F.col("n_chars") > 2000, "").otherwise(F.col("lang")))
-    return blank.join(own, "source").select("doc_id", "source", F.when(F.col("lang") != "", F.col("lang")).otherwise(F.col("language")).alias("language"))
+    return blank.join(own, "source").select("doc_id", "source", sitemap.language_or(F.col("lang"), F.col("language")).alias("language"))
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -406,17 +406,22 @@ def location_precision(spark: SparkSession, root: str) -> DataFrame:
 
 _TOP = f"""top as (select *, {_SCORE} as score, row_number() over (order by {_SCORE} desc, published desc, url) as n,
     {_WORDS.format('text')} < 120 as partial from articles qualify n <= 20)"""
+#: Every document that is relevant enough, numbered.
+_KEPT = f"""kept as (select *, {_SCORE} as score, row_number() over (order by {_SCORE} desc, published desc, url) as n,
+    {_WORDS.format('text')} < 120 as partial from articles where 1 / (1 + exp(-{_SCORE})) >= {rank.FLOOR})"""
 
 
-def _top(spark: SparkSession, root: str) -> DataFrame:
+def _numbered(spark: SparkSession, root: str, first: int | None = None) -> DataFrame:
+    """The first so many documents, or all that are relevant enough."""
     docs = articles(spark, root).withColumn("score", F.expr(f"double({_SCORE})"))
-    docs = rank.numbered(docs, [F.desc("score"), F.desc("published"), F.asc("url")], 20)
+    docs = docs if first else rank.relevant(docs, rank.FLOOR)
+    docs = rank.numbered(docs, [F.desc("score"), F.desc("published"), F.asc("url")], *([first] if first else []))
     return docs.withColumn("partial", match.lede_only(F.col("text"))).withColumn("published", T.minute(F.col("published")))
 
 
 @query("numbering_topk", f"with {_ARTICLES}, {_TOP} select n::int as n, url, round(score, 6)::double as score from top")
 def numbering_topk(spark: SparkSession, root: str) -> DataFrame:
-    return _top(spark, root).select("n", "url", F.round("score", 6).alias("score"))
+    return _numbered(spark, root, 20).select("n", "url", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -430,22 +435,23 @@ def numbering_all(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     "corpus_text",
-    f"""with {_ARTICLES}, {_TOP} select string_agg('=== ARTICLE ' || n || ' ===' || chr(10) || 'Source: ' || source || chr(10) || 'Published: ' || strftime(published, '%Y-%m-%d %H:%M')
+    f"""with {_ARTICLES}, {_KEPT} select n, ('=== ARTICLE ' || n || ' ===' || chr(10) || 'Source: ' || source || chr(10) || 'Published: ' || strftime(published, '%Y-%m-%d %H:%M')
     || chr(10) || 'Language: ' || lang || chr(10) || 'URL: ' || url || chr(10) || 'Relevance: ' || printf('%.3f', score::double) || chr(10)
     || case when partial then 'Note: lede only -- full text is behind the publisher''s paywall.' || chr(10) else '' end || 'Headline: ' || title || chr(10) || chr(10)
-    || substr(text, 1, 6000) || case when length(text) > 6000 then ' …[truncated]' else '' end || chr(10), chr(10) order by n) as corpus from top""",
+    || substr(text, 1, 6000) || case when length(text) > 6000 then ' …[truncated]' else '' end || chr(10)) as value from kept""",
 )
 def corpus_text(spark: SparkSession, root: str) -> DataFrame:
-    return report.corpus_text(_top(spark, root))
+    """The corpus's entries, of every document that counts, in order."""
+    return report.corpus_lines(_numbered(spark, root))
 
 
 @query(
     "corpus_facts",
-    f"""with {_ARTICLES}, {_TOP} select (select count(*) from top) as articles, string_agg(source || ' (' || k || ')', ', ' order by k desc, first_n) as outlets
-    from (select source, count(*) as k, min(n) as first_n from top group by source)""",
+    f"""with {_ARTICLES}, {_KEPT} select (select count(*) from kept) as articles, string_agg(source || ' (' || k || ')', ', ' order by k desc, first_n) as outlets
+    from (select source, count(*) as k, min(n) as first_n from kept group by source)""",
 )
 def corpus_facts(spark: SparkSession, root: str) -> DataFrame:
-    return report.facts_of_text(report.corpus_text(_top(spark, root)))
+    return report.facts(_numbered(spark, root))
 
 
 @query(
@@ -477,13 +483,13 @@ def _records(spark: SparkSession, root: str) -> DataFrame:
     return articles(spark, root).withColumn("day", F.col("published").cast("date"))
 
 
-#: Orders stand for an archive with gaps: few of them leave days without any.
-_ORDERS = "records as (select o_orderdate::date as day, o_orderpriority as source from orders where o_orderstatus = 'P')"
+#: All orders stand for an archive with gaps: they lie on the day of the year that their key names, some of which have none.
+_ORDERS = """records as (select (date '1992-01-01' + (o_orderkey * o_orderkey % 4001)::int)::date as day, o_orderpriority as source from orders)"""
 
 
 def _orders(spark: SparkSession, root: str) -> DataFrame:
-    rows = table(spark, root, "orders").where("o_orderstatus = 'P'")
-    return rows.select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderpriority").alias("source"))
+    day = F.expr("date_add(date'1992-01-01', cast(o_orderkey * o_orderkey % 4001 as int))")
+    return table(spark, root, "orders").select(day.alias("day"), F.col("o_orderpriority").alias("source"))
 
 
 @query("day_counts", f"with {_RECORDS} select day, source, count(*) as articles from records group by all")
@@ -586,7 +592,7 @@ def sitemap_urls(spark: SparkSession, root: str) -> DataFrame:
     "sitemap_discovery",
     f"""with {_SITEMAP_PAGES} select 'Example' as source, url, 'T' || page_id as title, 'xx' as language from s
     where published between '2024-01-03T00:00:00Z' and '2024-01-09T23:59:59Z' and (contains(lower(url), '/en/') or contains(lower(url), '/fr/'))
-    qualify row_number() over (partition by url order by shard desc, published desc) = 1""",
+    qualify row_number() over (partition by url order by shard desc, page_id desc) = 1""",
 )
 def sitemap_discovery(spark: SparkSession, root: str) -> DataFrame:
     from pressmill.schema import SOURCE

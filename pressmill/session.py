@@ -15,7 +15,6 @@ def session(name: str = "pressmill", zone: str = NEWS_ZONE, **conf: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        .config("spark.sql.files.ignoreCorruptFiles", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

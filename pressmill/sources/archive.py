@@ -7,12 +7,12 @@ under Spark's commit protocol. Counts come from an aggregation over the two part
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pressmill.functions.text import slug
-from pressmill.operators.keys import only_new
+from pressmill.operators.keys import first_per_key
 from pressmill.schema import ARCHIVE_RECORD, extended
 
 PLAUSIBLE_ARTICLES = 20
@@ -32,17 +32,35 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_archive(spark: SparkSession, root: str) -> DataFrame:
-    """All records; an archive that does not exist yet is empty. Broken files give what comes before the break."""
+def read_archive(spark: SparkSession, root: str, days: Column | None = None) -> DataFrame:
+    """All records, or those of ``days``; an archive that does not exist yet is empty. A broken file gives what comes before its break.
+
+    A file that ends early gives the lines that can be unpacked. Files with a line that is no JSON are listed
+    first; they alone are read line by line, each in one task as compressed files are, up to that line.
+    """
     if not exists(spark, root):
         return spark.createDataFrame([], _SCHEMA)
-    return spark.read.schema(_SCHEMA).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", True).json(root)
+    read = spark.read.option("ignoreCorruptFiles", True).option("basePath", root)
+    whole = read.schema(extended(_SCHEMA, "_broken string")).option("columnNameOfCorruptRecord", "_broken").json(root)
+    whole = whole if days is None else whole.where(days)
+    # a row for each broken file; the address is asked for because Spark does not read the broken text alone
+    listed = whole.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max("_broken").alias("b"), F.max("url").alias("u")).where("b is not null")
+    broken = [r["f"] for r in listed.collect()]
+    if not broken:
+        return whole.drop("_broken")
+    sound = whole.where(~F.col("_metadata.file_path").isin(broken)).drop("_broken")
+    lines = read.schema("value string, day date, source_slug string").text(broken)
+    lines = lines.select("*", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    lines = lines.withColumn("r", F.from_json("value", extended(ARCHIVE_RECORD, "_broken string"), {"columnNameOfCorruptRecord": "_broken"}))
+    bad = F.max(F.col("r._broken").isNotNull().cast("int")).over(Window.partitionBy("f").orderBy("n"))
+    before = lines.withColumn("bad", bad).where("bad = 0 and trim(value) <> ''")
+    return sound.unionByName(before.select(*[F.col(f"r.{n}") for n in ARCHIVE_RECORD.names], "day", "source_slug"))
 
 
 def read_range(spark: SparkSession, root: str, first: str, last: str, sources: list[str] | None = None) -> DataFrame:
-    """Records of the days (by partition, not by publication time) and, if given, of the sources' slugs."""
-    rows = read_archive(spark, root).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    return rows.where(F.col("source_slug").isin(sources)) if sources else rows
+    """Records of the days (by partition, not by publication time) and, if given, of the sources by name."""
+    rows = read_archive(spark, root, F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return rows.where(F.array_contains(F.array(*[slug(F.lit(s)) for s in sources]), F.col("source_slug"))) if sources else rows
 
 
 def read_source_day(spark: SparkSession, root: str, day: str, source_slug: str) -> DataFrame:
@@ -94,12 +112,13 @@ def stored_bytes(spark: SparkSession, root: str) -> DataFrame:
 def harvest(found: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(records to write, counters by source)`` of a harvest of ``found`` records of some days.
 
-    Stored records win; of those found only addresses that their day and source do not hold are
+    Stored records win; of records found more than once one counts; of those found only addresses that their day and source do not hold are
     new; blank text is a failure. A day is written whole, so running twice changes nothing.
     """
     key = ["day", "source", "url"]
-    held = stored.select(*key).withColumn("_held", F.lit(True))
-    marked = found.join(held, key, "left")
+    held = stored.select(*key).distinct().withColumn("_held", F.lit(True))
+    once = first_per_key(found, key, [F.asc(F.xxhash64(*[F.col(c).cast("string") for c in found.columns]))])
+    marked = once.join(held, key, "left")
     blank = F.trim(F.coalesce(F.col("text"), F.lit(""))) == ""
     counters = marked.groupBy("source").agg(
         F.count("*").alias("articles"),
@@ -117,10 +136,6 @@ def plausible(counters: DataFrame) -> DataFrame:
     return counters.agg(F.coalesce(F.sum(F.col("new") + F.col("skipped")), F.lit(0)).alias("articles")).withColumn("ok", F.col("articles") >= PLAUSIBLE_ARTICLES)
 
 
-def skip_stored(found: DataFrame, stored: DataFrame) -> DataFrame:
-    return only_new(found, stored, "url")
-
-
 def merged_status(last: DataFrame, run: DataFrame) -> DataFrame:
     """One row: a harvest's outcome laid over the last one's.
 

@@ -78,8 +78,8 @@ def run_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    """A report's or corpus's whole text, or None."""
+    """The whole text of a report, or of a corpus that one prompt holds, or None; part files in order of their names."""
     if not exists(spark, path):
         return None
-    rows = spark.read.text(path, wholetext=True).orderBy("value").collect()
+    rows = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").orderBy("file_path").collect()
     return "".join(r["value"] for r in rows)

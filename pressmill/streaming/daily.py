@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pressmill.functions.text import slug
 from pressmill.sources.archive import harvest, read_archive, write_days
 from pressmill.storage import written
 
@@ -33,7 +34,9 @@ def archive_stream(records: DataFrame, root: str, checkpoint: str) -> StreamingQ
 
     def merge(batch: DataFrame, _: int) -> None:
         spark: SparkSession = batch.sparkSession
-        stored = read_archive(spark, root).select(*batch.columns)
+        # the days and sources of the batch alone: pruned by partition
+        touched = batch.select("day", slug(F.col("source")).alias("source_slug")).distinct()
+        stored = read_archive(spark, root).join(F.broadcast(touched), ["day", "source_slug"], "left_semi").select(*batch.columns)
         whole, _counters = harvest(batch.dropDuplicates(["day", "source", "url"]), stored)
         write_days(written(whole, "staged"), root)  # aside first: the archive is read while it is replaced
 

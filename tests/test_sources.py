@@ -36,7 +36,12 @@ def test_broken_lines(spark, tmp_path):
     with gzip.open(folder / "part.json.gz", "wt") as f:
         f.write('{"url": "u1", "source": "C"}\n{"url": \n{"url": "u2", "source": "C"}\n')
     root = str(tmp_path / "a")
-    assert sorted(r["url"] for r in archive.read_range(spark, root, "2024-01-01", "2024-01-01").collect()) == ["u1", "u2"]
+    other = tmp_path / "a" / "day=2024-01-01" / "source_slug=d"
+    other.mkdir()
+    with gzip.open(other / "part.json.gz", "wt") as f:
+        f.write('{"url": "u3", "source": "D"}\n')
+    # a broken file ends at its break, the others are whole
+    assert sorted((r["url"], r["source_slug"]) for r in archive.read_range(spark, root, "2024-01-01", "2024-01-01").collect()) == [("u1", "c"), ("u3", "d")]
     assert archive.read_source_day(spark, root, "2024-01-01", "c").collect() == []
     with gzip.open(folder / "part.json.gz", "wt") as f:
         f.write('{"url": "u1", "source": "C"}\n\n{"url": "u2", "source": "C"}\n')
@@ -49,6 +54,15 @@ def test_missing_days(spark):
     assert sorted(r["day"].day for r in archive.missing_days(days).collect()) == [3, 4]
 
 
+def test_harvest_of_repeated_records(spark):
+    found = records(spark, [("u1", "C", "x", "2024-01-01"), ("u1", "C", "x", "2024-01-01"), ("u2", "C", "y", "2024-01-01")])
+    stored = records(spark, [("u2", "C", "y", "2024-01-01"), ("u2", "C", "y", "2024-01-01")])
+    whole, counters = archive.harvest(found, stored)
+    c = counters.first()
+    assert (c["articles"], c["new"], c["skipped"]) == (2, 1, 1)
+    assert sorted(r["url"] for r in whole.collect()) == ["u1", "u2", "u2"]
+
+
 def test_harvest_twice_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "a")
     found = records(spark, [(f"u{k}", "C", "" if k == 3 else "x", "2024-01-01") for k in range(30)])
@@ -94,7 +108,7 @@ def test_discovery(spark):
         ("http://a/post-1.xml", f"<urlset>{loc('http://a/india/1', 'one')}{loc('http://a/x', 'off')}{loc('http://a/india/2', 'late', '2024-02-01')}</urlset>"),
         ("http://a/post-old.xml", f"<urlset>{loc('http://a/india/9', 'old')}</urlset>"),
         ("http://a/tag-1.xml", f"<urlset>{loc('http://a/india/8', 'tag')}</urlset>"),
-        ("http://b/05-01-2024.xml", f"<urlset>{loc('http://b/1', 'first')}{loc('http://b/1', 'again', '2024-01-05T11:00:00')}</urlset>"),
+        ("http://b/05-01-2024.xml", f"<urlset>{loc('http://b/1', 'first')}{loc('http://b/1', 'again', '2024-01-05T09:00:00')}</urlset>"),  # the last record counts, not the latest
     ]
     sources = [("A", "en", "http://a/index.xml", None, ["india"], ["post"]), ("B", "mr", None, "http://b/%d-%m-%Y.xml", [], [])]
     got = sitemap.discover(spark.createDataFrame(sources, SOURCE), spark.createDataFrame(pages, "url string, xml string"), "2024-01-04", "2024-01-06")
@@ -135,13 +149,16 @@ def test_run_meta_merges(spark):
 def test_csv_bytes(spark, tmp_path):
     rows = spark.createDataFrame([("S", "2024-01-01 10:00", 'T "q"', "u", 0.123456, 7, "en", "x")], "source string, published string, title string, url string, relevance double, words long, lang string, extra string")
     report.write_csv(rows.coalesce(1), str(tmp_path / "c"))
-    data = next((tmp_path / "c").glob("part-*.csv")).read_bytes()
-    assert data.startswith(b'"\xef\xbb\xbfsource"') or data.startswith(b'\xef\xbb\xbf')
+    files = list((tmp_path / "c").glob("part-*"))
+    data = files[0].read_bytes()
+    assert len(files) == 1 and data.startswith(b'\xef\xbb\xbf"source","published"')
     assert b'"S","2024-01-01 10:00","T ""q""","u","0.1235","7","en"' in data
 
 
 def test_registry_text(spark, tmp_path):
     (tmp_path / "r.md").write_text("# a\nb")
+    spark.range(12).repartitionByRange(12, "id").selectExpr("concat(id + 1, ' article') as value").sortWithinPartitions("value").write.text(str(tmp_path / "parts"))
+    assert registry.read_text(spark, str(tmp_path / "parts")) == "".join(f"{k} article\n" for k in range(1, 13))
     assert registry.read_text(spark, str(tmp_path / "r.md")) == "# a\nb" and registry.read_text(spark, str(tmp_path / "no")) is None
 
 
