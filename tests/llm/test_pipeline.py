@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from tests.llm.util import documents, odd_texts, words
@@ -83,3 +85,22 @@ def test_near_copies_go(spark, sf_dir):
     docs = documents(spark, rows)
     kept = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
     assert kept == expected | {9001, 9003, 9004, 9006}
+
+
+def test_rows_of_files_are_numbered_by_their_place(spark, sf_dir, tmp_path, monkeypatch):
+    rng = random.Random(22)
+    rows = [(k, " ".join(words(rng, 30))) for k in range(40)]
+    rows += [rows[3], rows[3], (None, rows[5][1]), (None, rows[6][1]), (None, None), (7, rows[8][1])]
+    path = f"{tmp_path}/some files"
+    documents(spark, rows).withColumn("_metadata", F.lit("x")).repartition(3).write.parquet(path)
+    docs = spark.read.parquet(path)
+    numbered = pipeline._numbered(docs)
+    assert numbered.columns == [*docs.columns, pipeline.ROW]
+    first = {r[pipeline.ROW]: (r["doc_id"], r["text"]) for r in numbered.collect()}
+    assert len(first) == len(rows)
+    assert first == {r[pipeline.ROW]: (r["doc_id"], r["text"]) for r in numbered.repartition(7).select("text", "doc_id", pipeline.ROW).collect()}
+    kept = sorted(map(str, (r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect())))
+    # the null text stays; of the text of 8 the row that comes first by id is the second one with id 7
+    assert kept == sorted(map(str, [*range(8), 7, *range(9, 40), None]))
+    monkeypatch.setattr(pipeline, "BROADCAST_FILES", 0)
+    assert kept == sorted(map(str, (r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect())))
