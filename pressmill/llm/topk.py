@@ -4,10 +4,11 @@ Components are quantised to integers, the impacts. Candidates are dealt into blo
 ``BLOCK_ROWS``, alike ones together: by the best of ``PIVOTS`` rows drawn by a hash, which shape blocks
 and bear on no result. In a block each dimension has posting lists (row, impact) ordered by descending size of the
 impact, cut into segments at powers of two. A batch of queries processes the segments in
-that order, a posting list at a time. What a row has not yet had processed has a known length, and by
-the Cauchy-Schwarz inequality that length times the query's bounds what it can still add to or
-take from a score. A query stops when these bounds prove that few rows are left that can be members;
-these are then rescored exactly in integers.
+that order; lists that hold many of the rows are laid side by side and added as a product, others one at a
+time. What a row has not yet had processed has a known length, and by the Cauchy-Schwarz inequality that
+length times the query's bounds what it can still add to or take from a score. From the segment on after
+which these lengths are short enough to prove something, a query stops when the bounds prove that few rows
+are left that can be members; these are then rescored exactly in integers.
 
 Blocks are searched in two waves. In the first a query visits the block whose summary (mean and radius)
 promises most, and its k-th best score there is a threshold for all others: in the second it visits only
@@ -37,8 +38,16 @@ QUERY_ROWS = 512
 PIVOTS = 64
 #: Blocks whose summaries are compared at once.
 SUMMARY_ROWS = 4096
-#: Possible members of a query, times k, at which it stops.
-ENOUGH = 4
+#: Possible members of a query, times k, at which it stops; or one row in so many, as rescoring then costs less.
+ENOUGH, RESCORED = 4, 32
+#: Share of the rows' lengths that may be unprocessed at a proof: more proves nothing where rows are not alike.
+PROVABLE = 0.25
+#: Posting lists with a row in so many are laid out with a place for every row, to be added many at a time.
+FULL = 128
+#: Scores held at once: they stay in the processor's cache.
+SCORES = 1 << 18
+#: Scores and partial scores below this are exact integers in single precision.
+EXACT32 = float(1 << 22)
 #: Scores from here on could leave the range of a long; floating-point bounds say nothing about them.
 LARGEST = float(1 << 62)
 #: Relative error that bounds allow for rounding.
@@ -60,13 +69,32 @@ class ImpactIndex:
             inside = (size >= low) & (size < 2 * low)
             lists = []
             for d in np.nonzero(inside.any(axis=0))[0]:
-                rows = np.nonzero(inside[:, d])[0]
+                rows = np.nonzero(inside[:, d])[0].astype(np.int32)
                 rows = rows[np.argsort(-size[rows, d], kind="stable")]
                 lists.append((int(d), rows, self.x[rows, d].astype(np.float64)))
             rest = np.where(size < low, self.x, 0).astype(np.float64)
             self.segments.append((low, lists, np.sqrt((rest * rest).sum(axis=1))))
             low //= 2
         self.length = np.sqrt((self.x.astype(np.float64) ** 2).sum(axis=1))
+        #: last segments of the steps after which a proof is tried: before, what is unprocessed is too long to prove anything
+        short = [i for i, (*_, rest) in enumerate(self.segments) if rest.sum() <= PROVABLE * self.length.sum()]
+        self.steps = [(lo, hi) for lo, hi in zip([0, *(i + 1 for i in short)], [i + 1 for i in short], strict=False)]
+        self._laid: dict[tuple[int, type], tuple[list[int], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]], int]] = {}
+
+    def _step(self, step: int, kind: type) -> tuple[list[int], np.ndarray, list[tuple[int, np.ndarray, np.ndarray]], int]:
+        """A step's posting lists: dimensions of the full ones, these side by side, the others, and the number of postings."""
+        if (step, kind) not in self._laid:
+            lists = [posted for _, lists, _ in self.segments[slice(*self.steps[step])] for posted in lists]
+            count: dict[int, int] = {}
+            for d, rows, _ in lists:
+                count[d] = count.get(d, 0) + len(rows)
+            full = sorted(d for d, c in count.items() if c * FULL >= len(self.ids))
+            place, side = {d: i for i, d in enumerate(full)}, np.zeros((len(full), len(self.ids)), kind)
+            for d, rows, impact in lists:
+                if d in place:
+                    side[place[d], rows] = impact
+            self._laid[step, kind] = full, side, [p for p in lists if p[0] not in place], sum(count.values())
+        return self._laid[step, kind]
 
     def search(
         self, ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray | None = None
@@ -80,44 +108,74 @@ class ImpactIndex:
         norm = np.sqrt((weight * weight).sum(axis=1))
         n, seen = len(self.ids), np.zeros(len(q), np.int64)
         bar = np.full(len(q), -np.inf) if least is None else least.astype(np.float64)
-        if not n or norm.max(initial=0) * self.length.max(initial=0) >= LARGEST:
+        longest = norm.max(initial=0) * self.length.max(initial=0)
+        if not n or longest >= LARGEST:
             query, row = np.nonzero(self.ids[None, :] != ids[:, None])
             return *self._best(q, query, row, k), seen
-        score = np.zeros((n, len(q)))  # a posting adds to a whole row
-        open_ = np.arange(len(q))
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        k_here = min(k, n)
-        for _, lists, rest in self.segments:
-            part, w = score[:, open_], weight[open_]
-            for d, rows, impact in lists:
-                part[rows] += impact[:, None] * w[:, d]
-            score[:, open_] = part
-            seen[open_] += sum(len(rows) for _, rows, _ in lists)
-            slack = rest[:, None] * norm[open_] + ROUNDING * self.length[:, None] * norm[open_]
-            own = self.ids[:, None] == ids[open_]
-            lower = np.where(own, -np.inf, part - slack)
-            kth = np.maximum(np.partition(lower, n - k_here, axis=0)[n - k_here], bar[open_])
-            possible = (part + slack >= kth) & ~own
-            count = possible.sum(axis=0)
-            done = count <= ENOUGH * k
-            if rest.max(initial=0) == 0:
+        kind = np.float32 if longest < EXACT32 else np.float64  # sums of integers as small are exact
+        # a query whose threshold is out of reach processes nothing
+        asks = np.nonzero(bar <= norm * self.length.max() * (1 + ROUNDING))[0]
+        own = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        some = max(16, SCORES // n)
+        for at in range(0, len(asks), some):
+            kept += self._possible(asks[at : at + some], weight, norm, bar, own, k, kind, seen)
+        query, row = (np.concatenate(c) for c in zip(*kept, strict=True))
+        return *self._best(q, query, row, k, bar), seen
+
+    def _possible(
+        self, open_: np.ndarray, weight: np.ndarray, norm: np.ndarray, bar: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int, kind: type, seen: np.ndarray
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``(query, row)`` that can be among a query's k best, for the queries ``open_``."""
+        n, out, score = len(self.ids), [], np.zeros((len(open_), len(self.ids)), kind)
+        enough, k_here = max(ENOUGH * k, n // RESCORED), min(k, n)
+        for step in range(len(self.steps)):
+            full, side, single, postings = self._step(step, kind)
+            w = weight[open_].astype(kind)
+            if full:
+                score += w[:, full] @ side
+            for d, rows, impact in single:
+                score[:, rows] += w[:, d, None] * impact.astype(kind)
+            seen[open_] += postings
+            rest = self.segments[self.steps[step][1] - 1][2]
+            if kind is np.float32:  # bounds are rounded, scores are not; both are below 2 ** 22, so less than 1 is lost
+                slack = (norm[open_] * (1 + 1e-6)).astype(kind)[:, None] * (rest * (1 + 1e-6)).astype(kind)
+                lost = 1
+            else:
+                slack = norm[open_, None] * rest + ROUNDING * norm[open_, None] * self.length
+                lost = 0
+            least = (bar[open_] - lost).astype(kind)
+            possible = score + slack >= least[:, None]
+            for i, (lo, hi) in enumerate(zip(own[0][open_], own[1][open_], strict=True)):
+                possible[i, lo:hi] = False
+            count = np.count_nonzero(possible, axis=1)
+            if len(many := np.nonzero(count > enough)[0]):  # the k-th lower bound of the block may say more
+                lower = np.where(possible[many], score[many] - slack[many], -np.inf)
+                kth = np.partition(lower, n - k_here, axis=1)[:, n - k_here] - lost
+                possible[many] &= score[many] + slack[many] >= kth[:, None]
+                count[many] = np.count_nonzero(possible[many], axis=1)
+            done = count <= enough
+            if step == len(self.steps) - 1:
                 done[:] = True
-            if done.any():
-                query, row = np.nonzero(possible[:, done].T)
-                kept.append((open_[done][query], row))
-                open_ = open_[~done]
-            if not len(open_):
-                break
-        if len(open_):  # all impacts are zero: nothing to process
-            query, row = np.nonzero(self.ids[None, :] != ids[open_][:, None])
-            kept.append((open_[query], row))
-        return *self._best(q, *(np.concatenate(c) for c in zip(*kept, strict=True)), k), seen
-
-    def _best(self, q: np.ndarray, query: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            query, row = np.nonzero(possible[done]) if not done.all() else np.nonzero(possible)
+            out.append((open_[done][query], row))
+            if done.all():
+                return out
+            open_, score = open_[~done], score[~done]
+        # all impacts are zero: nothing to process
+        query, row = np.nonzero((np.arange(n) < own[0][open_, None]) | (np.arange(n) >= own[1][open_, None]))
+        return [*out, (open_[query], row)]
+
+    def _best(
+        self, q: np.ndarray, query: np.ndarray, row: np.ndarray, k: int, bar: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         score = np.empty(len(query), np.int64)
-        for at in range(0, len(query), 1 << 16):
-            part = slice(at, at + (1 << 16))
+        for at in range(0, len(query), 1 << 12):
+            part = slice(at, at + (1 << 12))
             score[part] = np.einsum("ij,ij->i", q[query[part]], self.x[row[part]])
+        if bar is not None:
+            reach = score >= bar[query]
+            query, row, score = query[reach], row[reach], score[reach]
         order = np.lexsort((self.ids[row], -score, query))
         query, row, score = query[order], row[order], score[order]
         first = np.concatenate(([0], np.nonzero(np.diff(query))[0] + 1)) if len(query) else np.empty(0, int)
