@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm.bytes import byte_rows, gram_codes, sums
-from pressmill.llm.common import materialize, table
+from pressmill.llm.common import handing_back, materialize, table
 
 #: Rows that the text models are fitted on, for each declared language, about.
 FIT_ROWS = 2000
@@ -175,7 +175,7 @@ def text_likelihoods(rows: DataFrame, models: np.ndarray) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(models), pa.int32()), pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*keys, pa.array(size), flat, _sparse(p)], ["kind", "id", "declared", "suffix", "host", "domain", "size", "ll", "shares"])
 
-    return rows.mapInArrow(run, f"{_ROW}, size long, ll array<double>, shares array<struct<k: int, p: double>>")
+    return rows.mapInArrow(handing_back(run), f"{_ROW}, size long, ll array<double>, shares array<struct<k: int, p: double>>")
 
 
 def _with_sums(rows: DataFrame, sums_: DataFrame, key: str, total: int) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.llm.bytes import byte_rows, echoes, gram_codes, sums
-from pressmill.llm.common import discard, materialize, table
+from pressmill.llm.common import discard, handing_back, materialize, table
 from pressmill.operators.keys import first_per_key
 
 MAX_LABELLED = 8000
@@ -268,7 +268,7 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             x = pa.array([r.tobytes() for r in both], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("doc"), x], ["id", "doc", "x"])
 
-    return materialize(rows.mapInArrow(run, "id long, doc long, x binary"), "features")
+    return materialize(rows.mapInArrow(handing_back(run), "id long, doc long, x binary"), "features")
 
 
 def _unpacked(x: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +312,7 @@ def train(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
                         yield pa.RecordBatch.from_arrays([doc, pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, float(label)))], ["doc", "view", "y"])
 
         # ids alone are shuffled here; labelled rows, and those given before, are not for giving
-        sure = rows.where("doc is not null").select("doc", "x").mapInArrow(run, "doc long, view int, y double")
+        sure = rows.where("doc is not null").select("doc", "x").mapInArrow(handing_back(run), "doc long, view int, y double")
         sure = sure.join(marked.select("doc"), "doc", "left_anti")
         if gone:
             sure = sure.join(F.broadcast(gone[0]), "doc", "left_anti")
@@ -359,7 +359,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
                 ["id", "text_score", "meta_score", "score", "accepted"],
             )
 
-    return rows.select("id", "x").mapInArrow(run, "id long, text_score double, meta_score double, score double, accepted boolean")
+    return rows.select("id", "x").mapInArrow(handing_back(run), "id long, text_score double, meta_score double, score double, accepted boolean")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
+from pressmill.llm import copies
+from pressmill.operators import dedupe
 from tests.llm.util import documents, odd_texts, words
 
 
@@ -104,3 +106,36 @@ def test_rows_of_files_are_numbered_by_their_place(spark, sf_dir, tmp_path, monk
     assert kept == sorted(map(str, [*range(8), 7, *range(9, 40), None]))
     monkeypatch.setattr(pipeline, "BROADCAST_FILES", 0)
     assert kept == sorted(map(str, (r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect())))
+
+
+def test_texts_stay_where_they_are_while_ids_are_few(spark, sf_dir, tmp_path, monkeypatch):
+    """Whole texts were shuffled to pick those that post other shingles, and those that are compared."""
+    rng = random.Random(24)
+    rows = []
+    for k in range(60):
+        text = words(rng, 120, 5000)
+        text[:8] = ["every", "text", "begins", "with", "the", "same", "eight", "words"]
+        rows += [(10 * k, " ".join(text)), (10 * k + 1, " ".join([*text[:-1], "end"]))]
+    plans = []
+    for module, name in ((copies, "materialize"), (dedupe, "written")):
+        write = lambda df, label, f=getattr(module, name): plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, label)
+        monkeypatch.setattr(module, name, write)
+    monkeypatch.setattr(copies, "COMMON", 4)
+    documents(spark, rows).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+
+    def moved():
+        plans.clear()
+        kept = {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+        lines = [p.splitlines() for p in plans]
+        return kept, sum(" Exchange " in a and "text#" in b for p in lines for a, b in zip(p, p[1:], strict=False))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved() == ({10 * k for k in range(60)}, 0)
+        monkeypatch.setattr(copies, "BROADCAST_IDS", 0)
+        kept, times = moved()
+        assert kept == {10 * k for k in range(60)} and times >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
