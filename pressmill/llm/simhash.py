@@ -39,6 +39,8 @@ BYTES = 8
 MASKS = [sum(0xFFFF << (16 * b) for b in pair) for pair in itertools.combinations(range(4), 2)]
 LISTS = [m | 0xFF << (8 * p) for m in MASKS for p in range(BYTES) if not m >> (8 * p) & 0xFF]
 LISTS_A_MASK = len(LISTS) // len(MASKS)
+#: Lists of an index for similarities out of ``MAX_BITS``' reach: one block of two bytes and another byte.
+WIDE_LISTS = [0xFFFF << (16 * b) | 0xFF << (8 * p) for b in range(4) for p in range(BYTES) if p // 2 != b]
 
 
 def _signed(x: int) -> int:
@@ -107,6 +109,21 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def wide_postings(fps: DataFrame) -> DataFrame:
+    """``(id, gram)`` of ``fps(id, fp)``: the lists of three positional bytes that a fingerprint is in, as hashes.
+
+    Fingerprints that differ in three bits or fewer always share some: three bytes at most differ, so one of
+    four blocks is whole and three of the other six bytes are. Beyond, those that ``wide_meet`` says.
+    """
+    lists = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(WIDE_LISTS)])
+    return fps.select("id", F.explode(lists).alias("gram"))
+
+
+def wide_meet(u: str, v: str) -> str:
+    """SQL that tells whether two fingerprints share a list of ``wide_postings``."""
+    return "(" + " or ".join(f"(({u} ^ {v}) & {_signed(m)}L) = 0" for m in WIDE_LISTS) + ")"
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp, component)``: one row per row of ``docs``.
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from pressmill.llm import copies
+from pressmill.llm import copies, simhash
 from pressmill.operators import dedupe
 from tests.llm.util import documents, odd_texts, words
 
@@ -108,6 +108,26 @@ def test_rows_of_files_are_numbered_by_their_place(spark, sf_dir, tmp_path, monk
     assert kept == sorted(map(str, (r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect())))
 
 
+def test_near_copies_meet_by_their_fingerprints(spark, sf_dir, monkeypatch):
+    """Pairs that share lists of positional bytes come by these alone, all others by shingles."""
+    rng = random.Random(23)
+    rows, close, far = [], set(), set()
+    for k in range(40):
+        text = words(rng, 150, 5000)
+        again = list(text)
+        for at in rng.sample(range(10, 140), 1 + k % 2):
+            again[at] = "altered"
+        u, v = (simhash.fingerprint(" ".join(w).encode(), 5) for w in (text, again))
+        (close if any(not (u ^ v) & m for m in simhash.WIDE_LISTS) else far).add(100 * k + 2)
+        rows += [(100 * k + 1, " ".join(text)), (100 * k + 2, " ".join(again))]
+    docs, first = documents(spark, rows), {i for i, _ in rows if i % 100 == 1}
+    assert len(close) >= 5 and len(far) >= 1
+    kept = lambda: {r["doc_id"] for r in pipeline.near_dedup(spark, docs, sf_dir).collect()}
+    assert kept() == first
+    monkeypatch.setattr(simhash, "wide_postings", lambda fps, f=simhash.wide_postings: f(fps).limit(0))
+    assert kept() == first | close
+
+
 def test_texts_stay_where_they_are_while_ids_are_few(spark, sf_dir, tmp_path, monkeypatch):
     """Whole texts were shuffled to pick those that post other shingles, and those that are compared."""
     rng = random.Random(24)
