@@ -1,10 +1,14 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
-from pressmill.llm import copies, simhash
+from pressmill.llm import copies, langid, packing, quality, simhash
 from pressmill.operators import dedupe
 from tests.llm.util import documents, odd_texts, words
 
@@ -159,3 +163,43 @@ def test_texts_stay_where_they_are_while_ids_are_few(spark, sf_dir, tmp_path, mo
         assert kept == {10 * k for k in range(60)} and times >= 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_executors_hold_few_rows_and_few_workers(spark, sf_dir, monkeypatch):
+    """Tasks sent 10,000 whole texts to Python at once, packing kept two workers for each task."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    for module in (pipeline, copies, langid, packing, quality):
+        write = lambda df, label, f=module.materialize: seen.append((label, int(spark.conf.get(key)), df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))) or f(df, label)
+        monkeypatch.setattr(module, "materialize", write)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        stage(spark, docs, sf_dir)
+        assert spark.conf.get(key) == before
+    to_python = {label: (rows, maps) for label, rows, maps in seen if maps}
+    assert {"langid", "languages", "features", "sure", "prefixes", "lengths", "pieces"} <= set(to_python)
+    assert all(rows <= pipeline.BATCH_ROWS and maps == 1 for rows, maps in to_python.values())
+
+
+def test_the_setting_of_batches_comes_back(spark, sf_dir, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = documents(spark, [(1, "some words", "en", "s")])
+    monkeypatch.setattr(langid, "identify", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        pipeline.language_id(spark, docs, sf_dir)
+    assert spark.conf.get(key) == before
+    monkeypatch.setattr(langid, "identify", lambda rows: rows.select("id", F.lit(spark.conf.get(key) == "7").alias("accepted")))
+    spark.conf.set(key, 7)  # smaller ones hold
+    try:
+        assert pipeline.language_id(spark, docs, sf_dir).count() == 1 and spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_need_no_pandas():
+    """Workers of near_dedup held it for the rest of their lives."""
+    code = "import sys, corpus_pipeline; from pressmill.llm import copies, langid, packing, quality; print('pandas' in sys.modules)"
+    root = Path(pipeline.__file__).parent
+    said = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip() == "False", said.stderr
